@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, small
+from ..session import BROADCAST_ROWS, cut, small
 
 BLOCK = 1024  # cells in a block; a block, not a source, is the unit of work
 
@@ -35,19 +31,19 @@ def empty_cells(cells: DataFrame) -> DataFrame:
     return blocks.join(taken, ["source", "block"], "left").select("source", "step", F.explode(gone).alias("cell"))
 
 
-def _solver(rank: int, ridge: float):
-    lower = [(i, j) for i in range(rank) for j in range(i + 1)]
+def _solve(d: DataFrame, rank: int, ridge: float) -> DataFrame:
+    """(key, f): the ridge solution of every row's normal equations by Cramer's rule, in one projection."""
 
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            g = np.zeros((len(b), rank, rank))
-            for i, j in lower:
-                g[:, i, j] = g[:, j, i] = b[f"g{i}{j}"]
-            g += ridge * np.eye(rank) * np.maximum(1.0, b["n"].to_numpy(float))[:, None, None]
-            y = b[[f"y{i}" for i in range(rank)]].to_numpy(float)
-            yield pd.DataFrame({"key": b["key"], "f": list(np.linalg.solve(g, y[..., None])[..., 0])})
+    def det(m: list[list[str]]) -> str:
+        if len(m) == 1:
+            return m[0][0]
+        return "(" + " + ".join(f"{'-1.0' if j % 2 else '1.0'} * {x} * {det([r[:j] + r[j + 1 :] for r in m[1:]])}" for j, x in enumerate(m[0])) + ")"
 
-    return solve
+    g = [[f"g{max(i, j)}{min(i, j)}" for j in range(rank)] for i in range(rank)]
+    for i in range(rank):
+        g[i][i] = f"({g[i][i]} + {ridge} * n)"
+    replaced = ([[f"y{i}" if k == j else x for k, x in enumerate(r)] for i, r in enumerate(g)] for j in range(rank))
+    return d.select("key", F.array(*(F.expr(f"{det(m)} / {det(g)}") for m in replaced)).alias("f"))
 
 
 def factorise(cells: DataFrame, slot_minutes: int, rank: int = 3, rounds: int = 3, ridge: float = 0.02) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -58,7 +54,8 @@ def factorise(cells: DataFrame, slot_minutes: int, rank: int = 3, rounds: int =
     within five spreads, so single wrong readings don't steer the factors. Returns (key,
     f) of the sources, (key, f) of the slots and (source, mid, spread). Every round joins
     the observations with one side's factors, sums up the normal equations in parallel
-    (partial sums, so a hot source is no hot task) and solves them in Arrow batches.
+    (partial sums, so a hot source is no hot task) and solves them in columns; a rank of
+    at most 4 keeps that short.
     """
     slot = F.floor(F.col("cell") * F.col("step") / slot_minutes)
     x = cut(cells.where("value > 0").groupBy("source", slot.alias("slot")).agg(F.avg(F.ln("value")).alias("x")))
@@ -68,18 +65,22 @@ def factorise(cells: DataFrame, slot_minutes: int, rank: int = 3, rounds: int =
     start = F.array(*((F.pmod(F.xxhash64("slot", F.lit(i)), F.lit(2_000_001)) / 1e6 - 1.0) for i in range(rank)))
     slots = z.select("slot").distinct().select(F.col("slot").alias("key"), start.alias("f"))
 
+    counts = z.agg(F.approx_count_distinct("source").alias("source"), F.approx_count_distinct("slot").alias("slot")).first()
+    few = {k: counts[k] <= BROADCAST_ROWS // 2 for k in ("source", "slot")}
+
     def side(known: DataFrame, by: str, of: str) -> DataFrame:
-        d = z.join(small(known.withColumnRenamed("key", by)), by)
+        known = known.withColumnRenamed("key", by)
+        d = z.join(F.broadcast(known) if few[by] else known, by)
         f = [F.col("f")[i] for i in range(rank)]
         sums = {f"g{i}{j}": F.sum(f[i] * f[j]) for i in range(rank) for j in range(i + 1)} | {f"y{i}": F.sum(f[i] * F.col("z")) for i in range(rank)}
         d = d.groupBy(F.col(of).alias("key")).agg(F.count(F.lit(1)).alias("n"), *(v.alias(k) for k, v in sums.items()))
-        return cut(d.mapInPandas(_solver(rank, ridge), f"key {dict(d.dtypes)['key']}, f array<double>"))
+        return _solve(d, rank, ridge)
 
     sources = side(slots, "slot", "source")
     for _ in range(rounds - 1):
         slots = side(sources, "source", "slot")
-        sources = side(slots, "slot", "source")
-    slots = side(sources, "source", "slot")
+        sources = cut(side(slots, "slot", "source"))
+    slots = cut(side(sources, "source", "slot"))
     return sources, slots, scale
 
 
