@@ -9,6 +9,7 @@ from ..session import table
 from .clusters import cluster_windows, describe_clusters, sound_windows
 from .mixing import mix_sources
 from .packing import pack_items
+from .toxicity import score_documents, source_rates
 
 FIELDS = ["max_persistence", "mean_persistence", "spectral_gap", "density"]
 
@@ -66,7 +67,19 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_shares(spark, d).where("not reachable").select("source")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_members, p4_clusters, p6_found, p6_packed, p6_report, p7_found, p7_mixture, p7_shares)}
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    return score_documents(table(spark, d, "documents"), table(spark, d, "review_labels"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_scores(spark, d).where("flagged").select("doc_id")
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    return source_rates(p8_scores(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_members, p4_clusters, p6_found, p6_packed, p6_report, p7_found, p7_mixture, p7_shares, p8_found, p8_scores, p8_rates)}
 
 SQL = {
     "p6_found": "SELECT doc_id, container_kind FROM documents, pack_capacity WHERE octet_length(encode(text)) > capacity_tokens",
