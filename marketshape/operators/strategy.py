@@ -21,7 +21,8 @@ from ..session import small
 def positions(signals: DataFrame, every: int = 1, most: float = 1.0) -> DataFrame:
     """Adds position: the last signal at a rebalance (seq a multiple of ``every``), within +-most. Keys: strategy, asset, seq."""
     w = W.partitionBy("strategy", "asset").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    return signals.withColumn("position", F.last(F.when(F.col("seq") % every == 0, F.greatest(F.lit(-most), F.least(F.lit(most), F.coalesce("signal", F.lit(0.0)))))).over(w) if every == 1 else F.last(F.when(F.col("seq") % every == 0, F.greatest(F.lit(-most), F.least(F.lit(most), F.coalesce("signal", F.lit(0.0))))), True).over(w))
+    target = F.greatest(F.lit(-most), F.least(F.lit(most), F.coalesce("signal", F.lit(0.0))))
+    return signals.withColumn("position", F.last(F.when(F.col("seq") % every == 0, target), True).over(w))
 
 
 def backtest(signals: DataFrame, cost: float = 0.001, slippage: float = 0.0005, every: int = 1, most: float = 1.0, capital: float = 100_000.0) -> DataFrame:
