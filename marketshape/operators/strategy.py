@@ -97,7 +97,7 @@ def walk_forward_splits(spark: SparkSession, n: int, train: int, test: int, step
     step = test if step is None else step
     if step <= 0 or test <= 0:
         raise ValueError("step and test must be positive")
-    s = spark.range(1).select(F.explode(F.sequence(F.lit(train), F.lit(n - test), F.lit(step)) if n - test >= train else F.array().cast("array<int>")).cast("bigint").alias("test_start"))
+    s = spark.range(1).select(F.explode((F.sequence(F.lit(train), F.lit(n - test), F.lit(step)) if n - test >= train else F.array()).cast("array<bigint>")).alias("test_start"))
     s = s.withColumns({"train_start": F.lit(0).cast("bigint") if anchored else F.col("test_start") - train, "train_end": F.col("test_start"), "test_end": F.col("test_start") + test})
     a, z = purge(F.col("test_start"), F.col("test_end"), purge_pct)
     s = s.withColumns({"purge_start": a.cast("bigint"), "purge_end": z.cast("bigint")}).where(F.col("train_end") - F.col("train_start") >= least)

@@ -788,3 +788,14 @@ def stream_bars(spark, d):
     out = S.run_to_table(spark, S.stream_bars(S.read_events(spark, d)), "update", folder)
     last = out.groupBy("asset", "t").agg(F.max_by(F.struct("open", "high", "low", "close", "volume"), "batch_no").alias("b"))
     return last.select("asset", "b.*")
+
+
+@query(WIN + ", hu AS (SELECT window_id, max(universe) AS universe FROM h0_features WHERE window_id IS NOT NULL GROUP BY 1), q AS (SELECT universe, window_id, round(least(greatest(max0, max1) / 2, 1), 9) AS score FROM ws JOIN hu USING (window_id) WHERE universe IS NOT NULL), w AS (SELECT *, avg(score) OVER v AS m, stddev_pop(score) OVER v AS s, count(*) OVER v AS k FROM q WINDOW v AS (PARTITION BY universe ORDER BY window_id ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)) || SELECT universe AS key, window_id AS seq, score, CASE WHEN k >= 5 THEN m + 2 * s ELSE 0.5 END AS threshold FROM w", "key seq", "score threshold")
+def stream_baseline(spark, d):
+    """The rolling baseline of every universe as keyed state of a stream of scores."""
+    folder = f"{shared_folder(spark).rstrip('/')}/stream-{next(tempfile._get_candidate_names())}"
+    u = table(spark, d, "h0_features").where("window_id is not null").groupBy("window_id").agg(F.max("universe").alias("key")).where("key is not null")
+    scores = window_states(spark, d).join(u, "window_id").select("key", F.col("window_id").alias("seq"), F.round(R.instability_score({"max": "max0"}, {"max": "max1"}), 9).alias("score"))
+    scores.write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema("key string, seq bigint, score double").option("maxFilesPerTrigger", 1_000_000).parquet(f"{folder}/in")
+    return S.run_to_table(spark, S.stream_baseline(stream), "append", folder)
