@@ -60,8 +60,30 @@ def laplacian(edges: DataFrame, nodes: DataFrame, normalized: bool = False) -> D
     return diagonal.unionByName(off)
 
 
-def components(edges: DataFrame, nodes: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """(window_id, node, component): the least node name of each connected part, by min-label rounds until none changes."""
+def _joined_up(g: pd.DataFrame) -> pd.DataFrame:
+    root = {n: n for n in g["i"]} | {n: n for n in g["j"]}
+
+    def find(n: str) -> str:
+        while root[n] != n:
+            root[n] = root[root[n]]
+            n = root[n]
+        return n
+
+    for a, b in zip(g["i"], g["j"], strict=True):
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return pd.DataFrame({"window_id": g["window_id"].iloc[0], "node": list(root), "component": [find(n) for n in root]})
+
+
+def components(edges: DataFrame, nodes: DataFrame, most_rounds: int = 64, small_graph: int = 500) -> DataFrame:
+    """(window_id, node, component): the least node name of each connected part.
+
+    If no window has more than ``small_graph`` nodes, each is one group of bounded size,
+    joined up in a single shuffle; else by min-label rounds until none changes.
+    """
+    if (nodes.groupBy("window_id").count().agg(F.max("count")).first()[0] or 0) <= small_graph:
+        pairs = edges.select("window_id", "i", "j").unionByName(nodes.select("window_id", F.col("node").alias("i"), F.col("node").alias("j")))
+        return pairs.groupBy("window_id").applyInPandas(_joined_up, f"window_id {dict(nodes.dtypes)['window_id']}, node string, component string")
     both = cut(both_ways(edges).select("window_id", "a", "b"))
     label = cut(nodes.select("window_id", "node", F.col("node").alias("component")))
     for _ in range(most_rounds):

@@ -71,7 +71,7 @@ def test_laplacian_walk_and_heat(spark):
     assert [r["eigenvalue"] for r in M.spectrum(M.laplacian(e, n, True)).orderBy("k").collect()] == pytest.approx([0, 1.5, 1.5], abs=1e-9)
     start = n.withColumn("x", (F.col("node") == "a").cast("double"))
     want = {"a": (1 + 2 * math.exp(-3)) / 3, "b": (1 - math.exp(-3)) / 3, "c": (1 - math.exp(-3)) / 3}
-    for got in (M.heat_diffusion(lap, n, start), M.heat_taylor(lap, start, terms=30)):
+    for got in (M.heat_diffusion(lap, n, start), M.heat_taylor(lap, start, terms=20)):
         assert {r["node"]: r["x"] for r in got.collect()} == pytest.approx(want)
     assert M.random_walk(e, n, 3, trajectory=True).count() == 12
     kinds = {r["node"]: r["kind"] for r in M.sinks_and_sources(start, M.heat_diffusion(lap, n, start)).collect()}
@@ -81,10 +81,12 @@ def test_laplacian_walk_and_heat(spark):
 def test_walk_reaches_degrees_and_metrics(spark):
     e = edges(spark, ("a", "b", 1.0), ("a", "c", 1.0), ("b", "c", 1.0), ("b", "d", 1.0), ("c", "d", 1.0))
     n = M.nodes_of(e.withColumnRenamed("w", "c")).unionByName(spark.createDataFrame([(0, "z")], "window_id bigint, node string"))
+    parts = [{tuple(r) for r in M.components(e, n, small_graph=k).select("window_id", "node", "component").collect()} for k in (0, 500)]
+    assert parts[0] == parts[1] and len(parts[0]) == 5
     m = M.graph_metrics(e, n, M.components(e, n)).first()
     assert (m["n_nodes"], m["n_edges"], m["n_components"]) == (5, 5, 2) and m["density"] == 0.5
-    got = {r["node"]: r["x"] for r in M.random_walk(e, n.where("node <> 'z'"), 40).collect()}
-    assert got == pytest.approx({"a": 0.2, "b": 0.3, "c": 0.3, "d": 0.2}, abs=1e-3)
+    got = {r["node"]: r["x"] for r in M.random_walk(e, n.where("node <> 'z'"), 16).collect()}
+    assert got == pytest.approx({"a": 0.2, "b": 0.3, "c": 0.3, "d": 0.2}, abs=1e-2)
 
 
 def test_persistence_of_squares_and_fixtures(spark):
