@@ -6,13 +6,13 @@ import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, small
 
 # Letters of other scripts that look like Latin ones, digits and signs read as letters.
 LOOKALIKES = str.maketrans("аеорсухіјѕһԁԛԝкмтвнАЕОРСУХІЈЅКМТВНαονρτυικ", "aeopcyxijshdqwkmtbhaeopcyxijskmtbhaovptuik")
@@ -128,18 +128,22 @@ def grams(words: list[str]) -> Iterator[str]:
 
 class KneserNey:
     """Interpolated trigram models of two classes whose last backoff, words by the number of
-    words they follow in either class, is shared."""
-
-    def __init__(self, counts: dict[str, dict[str, float]], discount: float = 0.75):
-        pooled: dict[str, set] = defaultdict(set)
-        for c in counts.values():
-            for g in c:
-                _, b, w = g.split(" ")
-                pooled[w].add(b)
-        total = sum(map(len, pooled.values())) or 1
-        self.size = len(pooled) + 1
-        self.shared = {w: len(x) / total for w, x in pooled.items()}
-        self.mass = min(0.9, discount * len(pooled) / total)
+    words they follow anywhere, is shared. ``follow``: that number for the words asked for,
+    its sum over all words, and how many words there are; else as in either class."""
+
+    def __init__(self, counts: dict[str, dict[str, float]], discount: float = 0.75, follow: tuple[dict[str, int], int, int] | None = None):
+        if follow is None:
+            pooled: dict[str, set] = defaultdict(set)
+            for c in counts.values():
+                for g in c:
+                    _, b, w = g.split(" ")
+                    pooled[w].add(b)
+            follow = {w: len(x) for w, x in pooled.items()}, sum(map(len, pooled.values())), len(pooled)
+        after, total, words = follow
+        total = total or 1
+        self.size = words + 1
+        self.shared = {w: x / total for w, x in after.items()}
+        self.mass = min(0.9, discount * words / total)
         self.floor = self.mass / (self.size * 4)
         self.of = {k: self._fit(c, discount) for k, c in counts.items()}
 
@@ -181,6 +185,40 @@ class KneserNey:
         return p
 
 
+def log_ratios(counts: DataFrame, discount: float = 0.75) -> DataFrame:
+    """(gram, x): ``KneserNey``'s ln p(harmful) / p(ordinary) of every trigram of (gram, h, o), its counts in both classes.
+
+    History and continuation counts are aggregations over all rows, joined back to them.
+    A trigram in neither class still counts for the shared backoff.
+    """
+    both = ("h", "o")
+    part = F.split("gram", " ")
+    t = counts.select("gram", part[0].alias("a"), part[1].alias("b"), part[2].alias("w"), *both)
+    some = lambda c: F.sum((F.col(c) > 0).cast("bigint"))
+    history = t.groupBy("a", "b").agg(*(F.sum(c).alias(f"h2{c}") for c in both), *(F.sum(F.least(F.lit(1.0), c)).alias(f"n2{c}") for c in both))
+    pairs = cut(t.groupBy("b", "w").agg(*(some(c).alias(f"bi{c}") for c in both)))
+    middle = pairs.groupBy("b").agg(*(F.sum(f"bi{c}").alias(f"h1{c}") for c in both), *(some(f"bi{c}").alias(f"n1{c}") for c in both))
+    last = pairs.groupBy("w").agg(*(some(f"bi{c}").alias(f"one{c}") for c in both), F.count(F.lit(1)).alias("pooled"))
+    z = last.agg(F.sum("pooled").alias("total"), F.count(F.lit(1)).alias("words"), *(F.sum(f"one{c}").alias(f"sum{c}") for c in both), *(some(f"one{c}").alias(f"len{c}") for c in both)).first()
+    total = float(z["total"] or 1)
+    mass = min(0.9, discount * z["words"] / total)
+    base = F.col("pooled") * ((1 - mass) / total) + mass / ((z["words"] + 1) * 4)
+    less = lambda c: F.greatest(F.col(c) - discount, F.lit(0.0))
+
+    def backed(c: str) -> Column:
+        """p of the word after one word."""
+        every = float(z[f"sum{c}"] or 1)
+        p = less(f"one{c}") / every + (discount * z[f"len{c}"] / every if z[f"len{c}"] else 1.0) * base
+        return F.when(F.col(f"h1{c}") > 0, less(f"bi{c}") / F.col(f"h1{c}") + discount * F.col(f"n1{c}") / F.col(f"h1{c}") * p).otherwise(p)
+
+    def whole(c: str) -> Column:
+        p, h = F.col(f"p{c}"), F.col(f"h2{c}")
+        return F.when(h > 0, (F.col(c) - discount * F.least(F.lit(1.0), c)) / h + discount * F.col(f"n2{c}") / h * p).otherwise(p)
+
+    pairs = pairs.join(middle, "b").join(last, "w").select("b", "w", *(backed(c).alias(f"p{c}") for c in both))
+    return t.join(history, ["a", "b"]).join(pairs, ["b", "w"]).select("gram", F.ln(whole("h") / whole("o")).alias("x"))
+
+
 class Scorer:
     """Length-normalised log-likelihood ratio of harmful against ordinary, in nats a word."""
 
@@ -217,8 +255,8 @@ def _count(rows: Iterable[list[str]]) -> Counter:
     return Counter(g for words in rows for g in grams(words))
 
 
-def fit_labels(snippets: list[tuple[list[list[str]], bool]], corpus: dict[str, float]) -> tuple[Counter, Counter, KneserNey]:
-    """(harmful counts, ordinary counts, model) from judged snippets and usual corpus trigrams.
+def fit_labels(snippets: list[tuple[list[list[str]], bool]], corpus: dict[str, float], follow: tuple[dict[str, int], int, int] | None = None) -> tuple[Counter, Counter]:
+    """(harmful counts, ordinary counts) from judged snippets and usual corpus trigrams.
 
     A snippet judged harmful may hold ordinary sentences too. Those of one segment count
     as they are; of the others only the segment that the model so far finds worst, and
@@ -228,7 +266,7 @@ def fit_labels(snippets: list[tuple[list[list[str]], bool]], corpus: dict[str, f
     usual = Counter(ordinary)
     usual.update(corpus)
     keep = [segments[0] for segments, bad in snippets if bad and len(segments) == 1]
-    model = KneserNey({"harmful": _count(keep), "ordinary": usual})
+    model = KneserNey({"harmful": _count(keep), "ordinary": usual}, follow=follow)
     for _ in range(3):
         score = Scorer(model)
         keep = []
@@ -236,34 +274,19 @@ def fit_labels(snippets: list[tuple[list[list[str]], bool]], corpus: dict[str, f
             if bad and segments:
                 v = [score.segment(s) for s in segments]
                 keep += [s for s, x in zip(segments, v, strict=True) if (x == max(v) and x > 0.2) or x > 0.7]
-        model = KneserNey({"harmful": _count(keep), "ordinary": usual})
-    return _count(keep), ordinary, model
-
-
-def _partial(count: Callable[[Iterator[pd.DataFrame]], Iterator[tuple[str, tuple]]], width: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Counts of a partition, added up before they are shuffled; handed on at every 300,000 keys."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c: dict[str, list[int]] = {}
+        model = KneserNey({"harmful": _count(keep), "ordinary": usual}, follow=follow)
+    return _count(keep), ordinary
 
-        def out() -> pd.DataFrame:
-            return pd.DataFrame({"gram": list(c), **{f"n{i}": [v[i] for v in c.values()] for i in range(width)}})
 
-        for g, at in count(batches):
-            v = c.get(g)
-            if v is None:
-                if len(c) >= 300_000:
-                    yield out()
-                    c.clear()
-                v = c[g] = [0] * width
-            v[at] += 1
-        if c:
-            yield out()
+def _occurrences(segments: DataFrame, *keep: str) -> DataFrame:
+    """Every trigram of the segments (words joined by blanks) as a row, with the columns ``keep``: those of ``grams``."""
+    w = F.split("words", " ")
+    start, end, beside = F.array(F.lit("<s>")), F.array(F.lit("</s>")), lambda x, y: F.concat(x, F.lit(" "), y)
+    g = F.zip_with(F.zip_with(F.concat(start, start, w), F.concat(start, w), beside), F.concat(w, end), beside)  # the longest leaves a null
+    return segments.select(*keep, F.explode(g).alias("gram")).where("gram is not null")
 
-    return run
 
-
-def score_documents(documents: DataFrame, labels: DataFrame, threshold: float = 0.6, max_labels: int = 50_000, usual: float = 2e-5, least: float = 2e-6, seed: float = 1.5) -> DataFrame:
+def score_documents(documents: DataFrame, labels: DataFrame, threshold: float = 0.6, max_labels: int = 50_000, usual: float = 2e-5, seed: float = 1.5) -> DataFrame:
     """(doc_id, source, score, flagged): every document with its worst segment's score.
 
     score is the largest log-likelihood ratio of harmful against ordinary over the
@@ -272,16 +295,19 @@ def score_documents(documents: DataFrame, labels: DataFrame, threshold: float =
     stay rows; no documents give no rows; without labels of both kinds all score 0.
 
     1. The words of all texts, disguises read through the lexicon of the judged snippets.
-    2. First model: at most ``max_labels`` judged snippets (in hash order), and the
-       trigrams that are at least a share ``usual`` of all in the documents as ordinary.
+    2. First model: at most ``max_labels`` judged snippets (in hash order), and as
+       ordinary the documents' trigrams of a share of at least ``usual``. Rarer ones may
+       be abuse, so at first they are of neither class.
     3. Segments it scores above ``seed`` are harmful; trigrams seen beside such segments
        far more often than chance puts them there are harmful as well (abuse comes in
        company); those that clearly keep to their share, or are usual, are ordinary. This
-       counts all documents.
+       counts all documents and every trigram, however rare.
     4. Second model from these and the snippets; it scores all documents.
 
-    What comes to the driver and is broadcast is bounded: the snippets, and trigrams of
-    a share of at least ``least``, of which there can't be more than 1 / least.
+    Both models are tables over all trigrams of documents and snippets (``log_ratios``),
+    joined to the documents'. Trigrams without a class count for the shared backoff. To
+    the driver come the snippets, the usual trigrams (there can't be more than
+    1 / ``usual``) and the numbers for the words of both.
     """
     spark = documents.sparkSession
     judged = labels.where("snippet is not null and is_harmful is not null").select("snippet", "is_harmful").orderBy(F.xxhash64("snippet"), "snippet", "is_harmful").limit(max_labels).collect()
@@ -298,53 +324,61 @@ def score_documents(documents: DataFrame, labels: DataFrame, threshold: float =
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "segments": [[" ".join(s) for s in words.segments(t)] if isinstance(t, str) else [] for t in b["text"]]})
 
-    texts = cut(docs.mapInPandas(read, "doc_id bigint, source string, segments array<string>"))
-
-    def all_grams(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, int]]:
-        for b in batches:
-            for segments in b["segments"]:
-                for s in segments:
-                    for g in grams(s.split(" ")):
-                        yield g, 0
-
-    only = texts.select("segments")
-    counts = cut(only.mapInPandas(_partial(all_grams, 1), "gram string, n0 bigint").groupBy("gram").agg(F.sum("n0").alias("n")))
+    texts = cut(docs.mapInPandas(read, "doc_id bigint, source string, segments array<string>").withColumn("at", F.monotonically_increasing_id()))
+    parts = texts.select("at", F.posexplode("segments").alias("k", "words"))
+    counts = cut(_occurrences(parts).groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0
     scale = min(1.0, 20_000 / max(1, total))  # the documents' counts weigh as much as 20,000 words, whatever their number
     corpus = {r["gram"]: r["n"] * scale for r in counts.where(F.col("n") >= usual * total).collect()}
-    harmful, ordinary, model = fit_labels(snippets, corpus)
-    sent = spark.sparkContext.broadcast(model)
 
-    def beside(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, int]]:
-        score = Scorer(sent.value)
-        for b in batches:
-            for segments in b["segments"]:
-                words = [s.split(" ") for s in segments]
-                strong = [score.segment(w) > seed for w in words]
-                rest = 1 if any(strong) else 2
-                for w, x in zip(words, strong, strict=True):
-                    for g in grams(w):
-                        yield g, 0 if x else rest
-
-    seen = cut(only.mapInPandas(_partial(beside, 3), "gram string, n0 bigint, n1 bigint, n2 bigint").groupBy("gram").agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in range(3))))
+    def with_snippets(table: DataFrame, harmful: dict[str, float], ordinary: dict[str, float]) -> DataFrame:
+        """(gram, h, o): the table's counts and the snippets'."""
+        own = spark.createDataFrame([(g, float(harmful.get(g, 0)), float(ordinary.get(g, 0))) for g in {*harmful, *ordinary, *unlabelled}], "gram string, h double, o double")
+        return cut(table.select("gram", F.col("h").cast("double").alias("h"), F.col("o").cast("double").alias("o")).unionByName(own).groupBy("gram").agg(F.sum("h").alias("h"), F.sum("o").alias("o")))
+
+    def segment_scores(model: DataFrame) -> DataFrame:
+        """(at, k, score) of every segment."""
+        m = _occurrences(parts, "at", "k").join(small(cut(model)), "gram").groupBy("at", "k").agg(F.sum("x").alias("x"), F.count(F.lit(1)).alias("n"))
+        return m.select("at", "k", (F.col("x") / (F.col("n") + 2.0)).alias("score"))  # as of Scorer
+
+    unlabelled = set(_count(s for segments, _ in snippets for s in segments))
+    pair = F.split("gram", " ")
+    follow = cut(counts.select("gram").unionByName(spark.createDataFrame([(g,) for g in unlabelled], "gram string")).select(pair[1].alias("b"), pair[2].alias("w")).distinct().groupBy("w").agg(F.count(F.lit(1)).alias("n")))
+    asked = spark.createDataFrame([(w,) for w in {g.split(" ")[2] for g in unlabelled | set(corpus)}], "w string")
+    sums = follow.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("words")).first()
+    harmful, ordinary = fit_labels(snippets, corpus, ({r["w"]: r["n"] for r in follow.join(asked, "w", "left_semi").collect()}, sums["total"], sums["words"]))
+
+    model = log_ratios(with_snippets(counts.select("gram", F.lit(0.0).alias("h"), F.when(F.col("n") >= usual * total, F.col("n") * scale).otherwise(0.0).alias("o")), harmful, ordinary))
+    strong = segment_scores(model).where(F.col("score") > seed).groupBy("at").agg(F.collect_list("k").alias("strong"))
+    kind = F.when(F.col("strong").isNull(), 2).when(F.array_contains("strong", F.col("k")), 0).otherwise(1)
+    near = texts.join(strong, "at", "left").select("strong", F.posexplode("segments").alias("k", "words")).select(kind.alias("kind"), "words")
+    seen = cut(_occurrences(near, "kind").groupBy("gram").agg(*(F.sum((F.col("kind") == i).cast("bigint")).alias(f"n{i}") for i in range(3))))
     sums = seen.agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2")).first()
     rate = min(0.5, max(1e-6, (sums["n1"] or 0) / max(1, (sums["n1"] or 0) + (sums["n2"] or 0))))
-    for r in seen.where(F.col("n0") + F.col("n1") + F.col("n2") >= least * total).collect():
-        g, n0, n1, n = r["gram"], r["n0"], r["n1"], r["n1"] + r["n2"]
-        if n and (n0 > 2 * n or (n1 >= 2 and n1 >= max(0.12, 2 * rate) * n and _binomial_tails(n1, n, rate) < 1e-3)):
-            harmful[g] += n0 + n
-        else:
-            harmful[g] += n0
-            if n >= usual * total or 1 - _binomial_tails(n1 + 1, n, 0.3) < 0.02:
-                ordinary[g] += n * scale
-    final = spark.sparkContext.broadcast(KneserNey({"harmful": harmful, "ordinary": ordinary}))
-
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        score = Scorer(final.value)
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "score": [max((score.segment(s.split(" ")) for s in x), default=0.0) for x in b["segments"]]})
 
-    return texts.mapInPandas(judge, "doc_id bigint, source string, score double").withColumn("flagged", F.col("score") > threshold)
+    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keeps: dict[tuple[int, int], tuple[bool, bool]] = {}
+        for b in batches:
+            h, o = [], []
+            for n0, n1, n2 in zip(b["n0"].tolist(), b["n1"].tolist(), b["n2"].tolist(), strict=True):
+                n = n1 + n2
+                if (got := keeps.get((n1, n))) is None:
+                    if len(keeps) > 200_000:
+                        keeps.clear()
+                    bad = n1 >= 2 and n1 >= max(0.12, 2 * rate) * n and _binomial_tails(n1, n, rate) < 1e-3
+                    got = keeps[n1, n] = bad, n >= usual * total or 1 - _binomial_tails(n1 + 1, n, 0.3) < 0.02
+                if n and (n0 > 2 * n or got[0]):
+                    h.append(n0 + n)
+                    o.append(0.0)
+                else:
+                    h.append(n0)
+                    o.append(n * scale if got[1] else 0.0)
+            yield pd.DataFrame({"gram": b["gram"], "h": pd.Series(h, dtype=float), "o": pd.Series(o, dtype=float)})
+
+    final = log_ratios(with_snippets(seen.mapInPandas(label, "gram string, h double, o double"), harmful, ordinary))
+    worst = segment_scores(final).groupBy("at").agg(F.max("score").alias("score"))
+    out = texts.select("at", "doc_id", "source").join(worst, "at", "left").select("doc_id", "source", F.coalesce("score", F.lit(0.0)).alias("score"))
+    return out.withColumn("flagged", F.col("score") > threshold)
 
 
 def source_rates(scored: DataFrame) -> DataFrame:
