@@ -286,6 +286,12 @@ def _occurrences(segments: DataFrame, *keep: str) -> DataFrame:
     return segments.select(*keep, F.explode(g).alias("gram")).where("gram is not null")
 
 
+def of_weight(counts: DataFrame, c: str, words: float) -> DataFrame:
+    """``counts`` with its column ``c`` scaled to a sum of ``words``, if it has more."""
+    total = counts.agg(F.sum(c)).first()[0] or 0
+    return counts.withColumn(c, F.col(c) * min(1.0, words / max(1.0, total)))
+
+
 def score_documents(documents: DataFrame, labels: DataFrame, threshold: float = 0.6, max_labels: int = 50_000, usual: float = 2e-5, seed: float = 1.5) -> DataFrame:
     """(doc_id, source, score, flagged): every document with its worst segment's score.
 
@@ -375,7 +381,8 @@ def score_documents(documents: DataFrame, labels: DataFrame, threshold: float =
                     o.append(n * scale if got[1] else 0.0)
             yield pd.DataFrame({"gram": b["gram"], "h": pd.Series(h, dtype=float), "o": pd.Series(o, dtype=float)})
 
-    final = log_ratios(with_snippets(seen.mapInPandas(label, "gram string, h double, o double"), harmful, ordinary))
+    learnt = of_weight(cut(seen.mapInPandas(label, "gram string, h double, o double")), "h", 5_000)  # a fixed weight, as the ordinary ones have
+    final = log_ratios(with_snippets(learnt, harmful, ordinary))
     worst = segment_scores(final).groupBy("at").agg(F.max("score").alias("score"))
     out = texts.select("at", "doc_id", "source").join(worst, "at", "left").select("doc_id", "source", F.coalesce("score", F.lit(0.0)).alias("score"))
     return out.withColumn("flagged", F.col("score") > threshold)

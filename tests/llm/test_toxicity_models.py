@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from marketshape.llm.toxicity import KneserNey, log_ratios
+from marketshape.llm.toxicity import KneserNey, log_ratios, of_weight
 
 
 def test_log_ratios_use_every_trigram(spark):
@@ -19,3 +19,11 @@ def test_log_ratios_use_every_trigram(spark):
     m = KneserNey({"harmful": {k: h for k, (h, _) in rows.items() if h}, "ordinary": {k: o for k, (_, o) in rows.items() if o}}, follow=(sizes, sum(sizes.values()), len(sizes)))
     got = {r["gram"]: r["x"] for r in log_ratios(spark.createDataFrame([(k, *v) for k, v in rows.items()], "gram string, h double, o double")).collect()}
     assert got == pytest.approx({k: math.log(m.p("harmful", *k.split(" ")) / m.p("ordinary", *k.split(" "))) for k in rows})
+
+
+def test_learnt_counts_weigh_the_same_on_ten_times_the_input(spark):
+    rows = [("a b c", 40.0, 0.1), ("b c d", 160.0, 0.0)]
+    got = [{r["gram"]: (r["h"], r["o"]) for r in of_weight(spark.createDataFrame([(k, h * n, o) for k, h, o in rows], "gram string, h double, o double"), "h", 100).collect()} for n in (1, 10)]
+    assert got[0] == got[1] == {"a b c": (20.0, 0.1), "b c d": (80.0, 0.0)}
+    few = of_weight(spark.createDataFrame([("a b c", 4.0, 0.0)], "gram string, h double, o double"), "h", 100)
+    assert few.first()["h"] == 4.0
