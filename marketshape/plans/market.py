@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .. import streaming as S
+from ..engine import StressConfig
 from ..functions import rules as R
 from ..operators import matrix as M
 from ..operators import strategy as X
@@ -681,7 +682,7 @@ def cpcv_splits(spark, d):
 
 def _simulated(method: str):
     def f(spark, d):
-        return X.simulate(brand_returns(spark, d), method, sims=20)
+        return X.simulate(brand_returns(spark, d), method, sims=StressConfig().simulations)
 
     f.__name__ = {"bootstrap": "mc_block_bootstrap"}.get(method, f"mc_{method}")
     return query()(f)
@@ -716,7 +717,7 @@ def robustness(spark, d):
 def stress_test(spark, d):
     """Block-bootstrapped panels under the momentum strategy, against the panel as it was."""
     r = brand_returns(spark, d)
-    sim = X.simulate(r, "bootstrap", sims=20).withColumn("strategy", F.col("sim_id").cast("string"))
+    sim = X.simulate(r, "bootstrap", sims=StressConfig().simulations).withColumn("strategy", F.col("sim_id").cast("string"))
     real = r.where("ret is not null").select("seq", "asset", "ret", F.lit("original").alias("strategy"))
     signals = sim.select("seq", "asset", "ret", "strategy").unionByName(real).withColumn("signal", F.signum("ret") / 25)
     m = cut(X.backtest_metrics(X.backtest(signals), ["strategy"]))
