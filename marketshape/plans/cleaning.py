@@ -58,10 +58,11 @@ def p5_totals(spark: SparkSession, d: str) -> DataFrame:
     none = F.lit(None).cast("double")
     panel = panel.select(F.col("asset").alias("entity"), day, none.alias("close"), none.alias("volume"), "ret", F.lit(False).alias("active"), F.lit(False).alias("in_span"))
     fields = ["close", "volume", "ret"]
-    return trailing_totals(daily_amounts(bars.unionByName(panel), fields), fields).select(F.col("entity").alias("asset"), F.date_format("day", "yyyy-MM-dd").alias("day_utc"), "active", *(F.round(f"{a}_{k}_{w}", 6).alias(f"{a}_{k}_{w}") for k in fields for w in (7, 30) for a in ("total", "avg")))
+    return trailing_totals(daily_amounts(bars.unionByName(panel), fields), fields, places=6).withColumnRenamed("entity", "asset").withColumn("day_utc", F.date_format("day", "yyyy-MM-dd")).drop("day")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Days whose running activity (one-day deltas) is 0."""
     return p5_totals(spark, d).where(~F.col("active")).select("asset", "day_utc")
 
 
@@ -76,8 +77,10 @@ def _rolling_sql() -> str:
     for k in ("close", "volume", "ret"):
         for w in (7, 30):
             frame = f"OVER (PARTITION BY asset ORDER BY dd RANGE BETWEEN INTERVAL {w - 1} DAY PRECEDING AND CURRENT ROW)"
-            outs.append(f"round(coalesce(sum({k}_s) {frame}, 0)::DOUBLE, 6) AS total_{k}_{w}")
-            outs.append(f"round((sum({k}_s) {frame})::DOUBLE / nullif(sum({k}_n) {frame}, 0), 6) AS avg_{k}_{w}")
+            total, n = f"coalesce(sum({k}_s) {frame}, 0)", f"nullif(sum({k}_n) {frame}, 0)::HUGEINT"
+            outs.append(f"round({total}, 6)::VARCHAR::DOUBLE AS total_{k}_{w}")
+            units = f"({total} * 10000000000)::HUGEINT"  # half up in whole numbers, as division would be of doubles
+            outs.append(f"((sign({total})::HUGEINT * ((2 * abs({units}) + {n} * 10000) // (2 * {n} * 10000)))::VARCHAR || 'e-6')::DOUBLE AS avg_{k}_{w}")
     return (
         _DAYS
         + """, last_rows AS (SELECT asset, ts, CASE WHEN isnan(close_price) THEN NULL ELSE close_price END AS c, volume FROM o QUALIFY row_number() OVER (PARTITION BY asset, ts ORDER BY received_at DESC, bar_id DESC) = 1),

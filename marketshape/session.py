@@ -20,10 +20,13 @@ DAY_ONE = 86_400_000_000
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (tests, a laptop) a temporary folder of this machine is used.
+    Where it is unset, a local session gets a temporary folder; a cluster has no folder
+    that its executors share by chance, so there it is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = getattr(spark, "_marketshape_folder", None)
         if not folder:
             folder = tempfile.mkdtemp(prefix="marketshape-")
@@ -32,35 +35,50 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def new_path(spark: SparkSession, kind: str = "marketshape") -> str:
+    """A path of its own in the shared folder, removed by ``drop_tables``."""
+    path = f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    if not _TABLES:
+        atexit.register(_drop_at_exit, spark)
+    _TABLES.append(path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a columnar table into the shared folder and read it back.
 
     It ends the lineage, survives the loss of any executor and, being compressed
-    columns, takes a fraction of the disk of a row checkpoint.
+    columns, takes a fraction of the disk of a row checkpoint. A join with the result
+    knows its size: the planner broadcasts it below spark.sql.autoBroadcastJoinThreshold.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/marketshape-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
-    _TABLES.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_TABLES: list[tuple[SparkSession, str]] = []
+_TABLES: list[str] = []
 
 
 def drop_tables(spark: SparkSession) -> None:
-    """Remove the tables that ``cut`` wrote in this session; results that read them must be done."""
+    """Remove the tables written so far in this process; results that read them must be done."""
     jvm = spark.sparkContext._jvm
-    for _, path in _TABLES:
-        where = jvm.org.apache.hadoop.fs.Path(path)
+    while _TABLES:
+        where = jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    _TABLES.clear()
+
+
+def _drop_at_exit(spark: SparkSession) -> None:
+    try:
+        drop_tables(spark)
+    except Exception:  # noqa: BLE001
+        pass  # the session is gone; its folder stays for the next cleaning
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is.
 
-    Beyond the bound the join is a shuffle join, whose hot keys adaptive execution splits.
+    For tables read or cut, as the count runs them. Beyond the bound the join is a
+    shuffle join, whose hot keys adaptive execution splits.
     """
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 

@@ -30,7 +30,7 @@ def tidy(df: pd.DataFrame) -> pd.DataFrame:
     return df.sort_values(list(df.columns), na_position="last").reset_index(drop=True)
 
 
-def compare(spark_rows: pd.DataFrame, sql_rows: pd.DataFrame, tol: float = 1e-6) -> str:
+def compare(spark_rows: pd.DataFrame, sql_rows: pd.DataFrame, tol: float = 1e-9) -> str:
     """An empty text if both hold the same rows, else what differs."""
     a, b = tidy(spark_rows), tidy(sql_rows)
     if list(a.columns) != list(b.columns):
