@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..session import cut, small
+from ..session import cut
 
 #: Words that stand for a missing text, compared trimmed and in lower case.
 PLACEHOLDERS = ("", "-", "--", "---", ".", "?", "??", "#missing", "#n/a", "#na", "#value!", "#null!", "<na>", "<null>", "(null)", "[null]", "\\n", "empty", "missing", "n.a.", "n/a", "n/d", "na", "nan", "nat", "nd", "nil", "none", "not available", "null", "tba", "tbc", "tbd", "undefined", "unknown", "unspecified", "void")
@@ -39,35 +39,67 @@ def return_missing(c: str) -> Column:
     return not_finite(c) | F.coalesce((F.col(c) <= -1) | ((F.col(c) >= 9) & nines(c, 2)), F.lit(False))
 
 
-def mine_dependencies(complete: DataFrame, targets: dict[str, str], determinants: list[tuple[str, ...]], max_violations: float = 0.0) -> DataFrame:
-    """Verified dependencies and their dictionaries: (target, determinant, key, value, held).
+#: Candidate left sides, the shorter ones first.
+DETERMINANTS = (("asset",), ("seq",), ("sector_ok",), ("asset", "seq"), ("sector_ok", "seq"))
+
+Dependency = tuple[str, tuple[str, ...], float]
+
+
+def mine_dependencies(complete: DataFrame, targets: dict[str, str], determinants: tuple[tuple[str, ...], ...] = DETERMINANTS, max_violations: float = 0.02) -> tuple[DataFrame, list[Dependency]]:
+    """Verified dependencies and their dictionaries: (target, determinant, key, value), [(target, determinant, error)].
 
     ``complete`` has the determinants' columns and, for every target, the column named
-    in ``targets``, null where it isn't complete. A dependency is verified if of the keys
-    with at least two complete records, at most a share ``max_violations`` has more than
-    one value, and there is at least one such key. One shuffle for all candidates, with
-    partial aggregation, so a hot key costs no more than a rare one.
+    in ``targets``, null where it isn't complete. The error of a dependency is the share
+    of records, among keys with at least two, that differ from their key's usual value;
+    it is verified up to ``max_violations``, if there is such a key, and if no part of
+    its determinant is verified already. So a few wrong records cost no dictionary,
+    whose value is the key's most frequent one (ties: the largest).
+
+    A first pass per determinant, on hashes only, drops those where half the keys are at
+    odds; values are counted for the rest. Both aggregate before they shuffle, so a hot
+    key costs no more than a rare one. To the driver comes a row per candidate.
     """
-    rows = [
-        F.when(F.col(col).isNotNull() & reduce(lambda a, b: a & b, [F.col(d).isNotNull() for d in det]), F.struct(F.lit(t).alias("target"), F.lit(",".join(det)).alias("determinant"), F.concat_ws("\u0001", *(F.col(d).cast("string") for d in det)).alias("key"), F.col(col).cast("string").alias("value")))
-        for t, col in targets.items()
-        for det in determinants
-        if t not in det
-    ]
-    d = complete.select(F.explode(F.array_compact(F.array(*rows))).alias("x")).select("x.*").groupBy("target", "determinant", "key").agg(F.min("value").alias("value"), (F.min("value") == F.max("value")).alias("one"), F.count(F.lit(1)).alias("n"))
-    d = cut(d)
-    held = d.groupBy("target", "determinant").agg((F.coalesce(F.avg(F.when((F.col("n") > 1) & ~F.col("one"), 1.0).when(F.col("n") > 1, 0.0)), F.lit(1.0)) <= max_violations).alias("held"))
-    return d.join(F.broadcast(held), ["target", "determinant"]).where("one").select("target", "determinant", "key", "value", "held")  # held: targets x determinants rows
+    pairs = [(t, det) for det in determinants for t, c in targets.items() if c not in det]
+
+    def known(det: tuple[str, ...]) -> Column:
+        return reduce(lambda a, b: a & b, [F.col(d).isNotNull() for d in det])
+
+    seen = None
+    for det in determinants:
+        mine = [t for t, q in pairs if q == det]
+        h = {t: F.xxhash64(targets[t]) for t in mine}
+        has = {t: F.col(targets[t]).isNotNull() for t in mine}
+        per_key = complete.where(known(det)).groupBy(*det).agg(*(f(F.when(has[t], h[t])).alias(f"{n}_{t}") for t in mine for n, f in (("lo", F.min), ("hi", F.max), ("n", F.count))))
+        odd = per_key.agg(F.lit(",".join(det)).alias("determinant"), *(F.coalesce(F.avg(F.when(F.col(f"n_{t}") > 1, (F.col(f"lo_{t}") != F.col(f"hi_{t}")).cast("double"))), F.lit(1.0)).alias(t) if t in mine else F.lit(1.0).alias(t) for t in targets))
+        seen = odd if seen is None else seen.unionByName(odd)
+    likely = {(t, tuple(r["determinant"].split(","))) for r in seen.collect() for t in targets if r[t] <= 0.5}
+    d = None
+    for t, det in pairs:
+        if (t, det) in likely:
+            x = complete.where(known(det) & F.col(targets[t]).isNotNull()).groupBy(F.concat_ws("\u0001", *(F.col(c).cast("string") for c in det)).alias("key"), F.col(targets[t]).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+            x = x.select(F.lit(t).alias("target"), F.lit(",".join(det)).alias("determinant"), "key", "value", "n")
+            d = x if d is None else d.unionByName(x)
+    if d is None:
+        return complete.sparkSession.createDataFrame([], "target string, determinant string, key string, value string"), []
+    d = cut(d.groupBy("target", "determinant", "key").agg(F.max_by("value", F.struct("n", "value")).alias("value"), F.sum("n").alias("n"), F.max("n").alias("most")))
+    errors = {(r["target"], tuple(r["determinant"].split(","))): r["e"] for r in d.where("n > 1").groupBy("target", "determinant").agg((1 - F.sum("most") / F.sum("n")).alias("e")).collect()}
+    held: list[Dependency] = []
+    for t, det in pairs:
+        if errors.get((t, det), 1.0) <= max_violations and not any(t == u and set(q) < set(det) for u, q, _ in held):
+            held.append((t, det, errors[t, det]))
+    return d.select("target", "determinant", "key", "value"), held
 
 
 def fill_missing(panel: DataFrame) -> DataFrame:
     """The panel with close_prices, ret, sector and regime filled, and where each value is from.
 
     Columns: row_id, seq, timestamps, asset, the four fields and for each ``<field>_from``:
-    observed, ``fd:<determinant>`` (dictionary of a dependency that holds in the complete
-    records), derived (close and return determine each other along an asset), neighbours
-    (between the asset's days before and after), group:<columns> (mean or usual value of
-    the group), undefined (the return of an asset's first timestamp, left null), unfilled.
+    observed, ``fd:<determinant>`` (dictionary of a dependency mined from the complete
+    records and verified), derived (close and return determine each other along an
+    asset), neighbours (between the asset's or calendar's days before and after),
+    group:<columns> (mean or most frequent value of the group, from the narrowest to the
+    day), undefined (the return of an asset's first timestamp, left null), unfilled (no
+    row of the same asset, sector or day has a value).
 
     A missing value is null, not a number, infinite, an empty text or placeholder word,
     a price that isn't positive, a return of -1 or less, or a number of nines. Repeated
@@ -75,30 +107,26 @@ def fill_missing(panel: DataFrame) -> DataFrame:
     filled by the groups they do have. Other columns are left out.
     """
     p = panel.select("row_id", "seq", "timestamps", "asset", "sector", "close_prices", "ret", "regime")
-    usual = p.where(~not_finite("close_prices") & (F.col("close_prices") > 0)).groupBy("asset").agg(F.percentile_approx("close_prices", 0.5, 200).alias("usual"), F.min("timestamps").alias("_"))
-    first = p.groupBy("asset").agg(F.min("timestamps").alias("first"))
-    about = first.join(usual.drop("_"), "asset", "left")
+    price = F.when(~not_finite("close_prices") & (F.col("close_prices") > 0), F.col("close_prices"))
+    about = cut(p.groupBy("asset").agg(F.percentile_approx(price, 0.5, 200).alias("usual"), F.min("timestamps").alias("first")))
     marks = {"sector": text_missing("sector"), "regime": text_missing("regime"), "close_prices": price_missing("close_prices", F.col("usual")), "ret": return_missing("ret")}
-    p = p.join(small(about), "asset", "left").withColumns({f"{k}_no": x for k, x in marks.items()})
-    p = p.withColumns({f"{k}_ok": F.when(~F.col(f"{k}_no"), F.trim(k) if k in ("sector", "regime") else F.col(k)) for k in marks}).drop("usual")
-    p = cut(p)
-
-    dets = {"sector": ["asset"], "regime": ["seq"], "close_prices": ["asset,seq"], "ret": ["asset,seq"]}
-    fd = cut(mine_dependencies(p, {k: f"{k}_ok" for k in marks}, [("asset",), ("seq",), ("asset", "seq")]).where("held").select("target", "determinant", "key", "value"))
-
-    def dictionary(target: str, det: str, name: str) -> DataFrame:
-        keys = det.split(",")
-        d = fd.where((F.col("target") == target) & (F.col("determinant") == det))
-        parts = F.split("key", "\u0001")
-        return d.select(*(parts[i].cast("bigint" if k == "seq" else "string").alias(k) for i, k in enumerate(keys)), F.col("value").cast("double" if target in ("close_prices", "ret") else "string").alias(name))
-
-    # one row per asset and day: few, as repeated rows are gone; all neighbours come from here
+    p = p.join(about, p["asset"].eqNullSafe(about["asset"]), "left").drop(about["asset"])
+    p = cut(p.select("row_id", "seq", "timestamps", "asset", "first", *(F.when(~x, F.trim(k) if k in ("sector", "regime") else F.col(k)).alias(f"{k}_ok") for k, x in marks.items())))
+    d, held = mine_dependencies(p, {k: f"{k}_ok" for k in marks})
+
+    def with_dictionaries(t: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+        """The table of these keys with a column fd_<target> of every dependency on them."""
+        for target, det, _ in held:
+            if det == keys:
+                parts = F.split("key", "\u0001")
+                of = d.where((F.col("target") == target) & (F.col("determinant") == ",".join(det)))
+                of = of.select(*(parts[i].cast(dict(t.dtypes)[k]).alias(k) for i, k in enumerate(keys)), F.col("value").cast("double" if target in ("close_prices", "ret") else "string").alias(f"fd_{'_'.join(keys)}_{target}"))
+                t = t.join(of, list(keys), "left")
+        return t
+
+    # one row per asset, per asset and day, per day, per sector and day: all fillings come from these
+    per_asset = cut(with_dictionaries(p.where("asset is not null").groupBy("asset").agg(F.mode("sector_ok", True).alias("sector_asset")), ("asset",)))
     day = p.where("asset is not null and seq is not null").groupBy("asset", "seq").agg(F.max("sector_ok").alias("s"), F.max("close_prices_ok").alias("c"), F.max("ret_ok").alias("r"))
-    for target, names in dets.items():
-        for det in names:
-            if target in ("close_prices", "ret"):
-                day = day.join(dictionary(target, det, f"fd_{target}"), det.split(","), "left")
-    day = day.join(small(dictionary("sector", "asset", "fd_sector")), "asset", "left").withColumn("s", F.coalesce("s", "fd_sector"))
     w = W.partitionBy("asset").orderBy("seq")  # as many rows as the calendar has days
     back, ahead = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(1, W.unboundedFollowing)
     known = F.when(F.col("c").isNotNull(), F.struct("seq", "c"))
@@ -109,24 +137,28 @@ def fill_missing(panel: DataFrame) -> DataFrame:
     day = day.withColumns({"c_derived": F.coalesce(yesterday * (1 + F.col("r")), tomorrow), "c_near": F.coalesce(between, F.col("b")["c"], F.col("a")["c"])})
     best_c = F.coalesce("c", "c_derived", "c_near")
     day = day.withColumns({"r_derived": F.coalesce(F.when(F.col("c").isNotNull(), F.col("c") / yesterday - 1), F.when(F.lag("seq").over(w) == F.col("seq") - 1, best_c / F.lag(best_c).over(w) - 1))})
-    day = cut(day.select("asset", "seq", "s", "r", *(f"fd_{t}" for t in ("close_prices", "ret")), "c_derived", "c_near", "r_derived"))
-    sector_day = day.where("s is not null and r is not null").groupBy(F.col("s").alias("sector_ok2"), "seq").agg(F.avg("r").alias("r_sector"))
-    per_day = day.groupBy("seq").agg(F.avg("r").alias("r_day"))
-    regimes = p.groupBy("seq").agg(F.mode("regime_ok", True).alias("m"))
+    day = cut(with_dictionaries(day.join(per_asset.select("asset", "sector_asset"), "asset", "left").select("asset", "seq", F.coalesce("s", "sector_asset").alias("sector_ok"), "c", "r", "c_derived", "c_near", "r_derived"), ("asset", "seq")))
+    sector_day = cut(with_dictionaries(day.where("sector_ok is not null").groupBy("sector_ok", "seq").agg(F.avg("r").alias("r_sector"), F.avg("c").alias("c_sector")), ("sector_ok", "seq")))
+    means = day.groupBy("seq").agg(F.avg("r").alias("r_day"), F.avg("c").alias("c_day"), F.mode("sector_ok", True).alias("sector_day"))
+    per_day = p.where("seq is not null").groupBy("seq").agg(F.mode("regime_ok", True).alias("regime_day")).join(means, "seq", "left")
     cal = W.orderBy("seq")  # the calendar: one row a day
-    regimes = regimes.withColumn("regime_near", F.coalesce(F.last("m", True).over(cal.rowsBetween(W.unboundedPreceding, -1)), F.first("m", True).over(cal.rowsBetween(1, W.unboundedFollowing)))).select("seq", "m", "regime_near")
-
-    q = p.join(day.drop("s", "r"), ["asset", "seq"], "left").join(small(dictionary("sector", "asset", "fd_sector")), "asset", "left").join(small(dictionary("regime", "seq", "fd_regime")), "seq", "left").join(small(regimes), "seq", "left").join(small(per_day), "seq", "left")
-    q = q.withColumn("sector_ok2", F.coalesce("sector_ok", "fd_sector")).join(small(sector_day), ["sector_ok2", "seq"], "left")
-    ways = {
-        "sector": [("observed", "sector_ok"), ("fd:asset", "fd_sector")],
-        "regime": [("observed", "regime_ok"), ("fd:seq", "fd_regime"), ("group:seq", "m"), ("neighbours", "regime_near")],
-        "close_prices": [("observed", "close_prices_ok"), ("fd:asset,seq", "fd_close_prices"), ("derived", "c_derived"), ("neighbours", "c_near")],
-        "ret": [("observed", "ret_ok"), ("fd:asset,seq", "fd_ret"), ("derived", "r_derived"), ("group:sector,seq", "r_sector"), ("group:seq", "r_day")],
+    per_day = per_day.withColumn("regime_near", F.coalesce(F.last("regime_day", True).over(cal.rowsBetween(W.unboundedPreceding, -1)), F.first("regime_day", True).over(cal.rowsBetween(1, W.unboundedFollowing))))
+    per_day = cut(with_dictionaries(per_day, ("seq",)))
+
+    q = p.join(per_asset, "asset", "left").join(day.drop("sector_ok", "c", "r"), ["asset", "seq"], "left").join(per_day, "seq", "left")
+    q = q.withColumns({"own": F.col("sector_ok"), "sector_ok": F.coalesce("sector_ok", "sector_asset")}).join(sector_day, ["sector_ok", "seq"], "left")
+    if any(det == ("sector_ok",) for _, det, _ in held):
+        q = q.join(with_dictionaries(p.where("sector_ok is not null").select("sector_ok").distinct(), ("sector_ok",)), "sector_ok", "left")
+    fallback = {
+        "sector": [("group:asset", "sector_asset"), ("group:seq", "sector_day")],
+        "regime": [("group:seq", "regime_day"), ("neighbours", "regime_near")],
+        "close_prices": [("derived", "c_derived"), ("neighbours", "c_near"), ("group:sector,seq", "c_sector"), ("group:seq", "c_day")],
+        "ret": [("derived", "r_derived"), ("group:sector,seq", "r_sector"), ("group:seq", "r_day")],
     }
     start = F.coalesce(F.col("timestamps") == F.col("first"), F.lit(False)) & F.col("ret_ok").isNull()
     out: list[Column] = []
-    for k, steps in ways.items():
+    for k, others in fallback.items():
+        steps = [("observed", "own" if k == "sector" else f"{k}_ok"), *((f"fd:{','.join(x.removesuffix('_ok') for x in det)}", f"fd_{'_'.join(det)}_{k}") for t, det, _ in held if t == k), *others]
         value, at = F.coalesce(*(F.col(c) for _, c in steps)), F.coalesce(*(F.when(F.col(c).isNotNull(), F.lit(n)) for n, c in steps), F.lit("unfilled"))
         if k == "ret":
             value, at = F.when(~start, value), F.when(start, "undefined").otherwise(at)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..session import DAY_ONE, cut, micros, number, small
+from ..session import DAY_ONE, cut, micros, number
 
 
 SCORES = ("close_score", "high_score", "low_score", "volume_score")
@@ -24,9 +24,10 @@ def bar_scores(bars: DataFrame, steps: DataFrame, near: int = 5, block_steps: in
     of its neighbours on both sides, so no task holds a whole source, however hot;
     readings farther apart than the halo aren't each other's neighbours.
 
-    * close_score: distance in logs to the median of the ``near`` readings before and
+    * close_score: distance in logs to the median of up to ``near`` readings before and
       after, the smaller of the two, 0 where they lie on different sides of the bar (a
-      move that lasts is near its successors);
+      move that lasts is near its successors); readings are looked for among the
+      ``near`` + 2 rows on each side, no farther than 3 ``near`` steps;
     * high_score, low_score: how far the wick leaves the body, in logs;
     * volume_score: log of the volume over the larger of the source's median at that
       hour and the median around the bar (a day of high volume has high neighbours);
@@ -42,30 +43,38 @@ def bar_scores(bars: DataFrame, steps: DataFrame, near: int = 5, block_steps: in
     b = (
         bars.where(us >= DAY_ONE)
         .select("bar_id", "asset", us.alias("us"), *(number(f"{x}_price").alias(x[0]) for x in ("open", "high", "low", "close")), F.col("volume").alias("v"))
-        .join(small(steps.select("asset", "bar_minutes").dropDuplicates(["asset"])), "asset", "left")
+        .join(cut(steps.groupBy("asset").agg(F.min("bar_minutes").alias("bar_minutes"))), "asset", "left")
         .withColumn("pos", (F.col("us") / step * 1_000_000).cast("long"))  # millionths of a step
         .drop("bar_minutes")
     )
     hour = F.floor(F.col("us") / 3_600_000_000) % 24
-    usual = b.where("v > 0").groupBy("asset", hour.alias("hour")).agg(F.percentile_approx(F.ln("v"), 0.5, 500).alias("usual"))
+    usual = cut(b.where("v > 0").groupBy("asset", hour.alias("hour")).agg(F.percentile_approx(F.ln("v"), 0.5, 500).alias("usual")))
     size, halo = block_steps * 1_000_000, halo_steps * 1_000_000
     first, own, last = (F.floor((F.col("pos") + d) / size) for d in (-halo, 0, halo))
     cut_up = b.withColumn("own", own).withColumn("block", F.explode(F.array_distinct(F.array(first, "own", last))))
 
     w = W.partitionBy("asset", "block").orderBy("pos")
     far = 3 * near * 1_000_000
-    before, after = w.rangeBetween(-far, -1), w.rangeBetween(1, far)
     c, v = F.when(F.col("c") > 0, F.ln("c")), F.when(F.col("v") > 0, F.ln("v"))
-    around = {"cb": F.slice(F.reverse(F.collect_list(c).over(before)), 1, near), "ca": F.slice(F.collect_list(c).over(after), 1, near), "vb": F.slice(F.reverse(F.collect_list(v).over(before)), 1, near), "va": F.slice(F.collect_list(v).over(after), 1, near)}
+    reading = F.struct("pos", c.alias("c"), v.alias("v"))
+    lists = {"before": F.collect_list(reading).over(w.rowsBetween(-near - 2, -1)), "after": F.collect_list(reading).over(w.rowsBetween(1, near + 2))}
+
+    def near_median(rows: str, x: str) -> Column:
+        """Of the readings on that side, not of the same moment, the closest first."""
+        ok = F.filter(rows, lambda r: r[x].isNotNull() & (F.abs(r["pos"] - F.col("pos")) <= far) & (r["pos"] != F.col("pos")))
+        return _median(F.slice(F.transform(F.reverse(ok) if rows == "before" else ok, lambda r: r[x]), 1, near))
+
+    around = {f"{x}{rows[0]}": near_median(rows, x) for x in "cv" for rows in lists}
     rep = F.coalesce(F.lag("pos").over(w) != F.col("pos"), F.lit(True))
     earlier = w.rangeBetween(W.unboundedPreceding, -1)
     d = (
-        cut_up.withColumns({k: _median(x) for k, x in around.items()} | {"rep": rep})
+        cut_up.withColumns(lists | {"rep": rep})
         .withColumns({"pc": F.last(F.when(F.col("rep"), F.struct("c")), True).over(earlier)["c"], "pv": F.last(F.when(F.col("rep"), F.struct("v")), True).over(earlier)["v"]})
         .withColumns({"flat": F.coalesce((F.col("c") == F.col("pc")) & (F.col("o") == F.col("c")) & (F.col("h") == F.col("c")) & (F.col("l") == F.col("c")), F.lit(False)), "same": F.coalesce((F.col("v") > 0) & (F.col("v") == F.col("pv")), F.lit(False))})
         .withColumns({k: F.sum(F.when(F.col("rep") & ~F.col(x), 1).otherwise(0)).over(w.rangeBetween(W.unboundedPreceding, 0)) for k, x in (("price_part", "flat"), ("volume_part", "same"))})
         .withColumns({k: F.sum(F.when(F.col("rep") & F.col(x), 1).otherwise(0)).over(W.partitionBy("asset", "block", part)) for k, x, part in (("price_run", "flat", "price_part"), ("volume_run", "same", "volume_part"))})
         .where("block = own")
+        .withColumns(around)
     )
     x = c
     up, down = x - F.col("cb"), x - F.col("ca")
@@ -73,8 +82,8 @@ def bar_scores(bars: DataFrame, steps: DataFrame, near: int = 5, block_steps: in
     body = [F.when(F.col(k) > 0, F.col(k)) for k in ("o", "c")]
     quiet = F.greatest("vb", "va", "usual")
     negative = (F.least("o", "h", "l", "c") <= 0) | (F.col("v") < 0) | (F.col("h") < F.col("l")) | (F.col("c") > F.col("h")) | (F.col("c") < F.col("l"))
-    return d.withColumn("hour", hour).join(small(usual), ["asset", "hour"], "left").select(
-        "bar_id", "asset", close.cast("float").alias("close_score"),
+    return d.withColumn("hour", hour).join(usual, ["asset", "hour"], "left").select(
+        "bar_id", "asset", F.col("hour").cast("byte").alias("hour"), close.cast("float").alias("close_score"),
         F.greatest(F.ln(F.when(F.col("h") > 0, F.col("h")) / F.greatest(*body)), F.lit(0.0)).cast("float").alias("high_score"),
         F.greatest(F.ln(F.least(*body) / F.when(F.col("l") > 0, F.col("l"))), F.lit(0.0)).cast("float").alias("low_score"),
         F.when(quiet.isNotNull(), F.greatest(v - quiet, F.lit(0.0))).cast("float").alias("volume_score"),
@@ -84,56 +93,80 @@ def bar_scores(bars: DataFrame, steps: DataFrame, near: int = 5, block_steps: in
     )
 
 
-def tail_cutoffs(scores: DataFrame, risk: float = 1e-6, start: float = 0.95, shape_range: tuple[float, float] = (-0.1, 0.0)) -> DataFrame:
-    """(asset, <score>_cut for every score): peaks over threshold.
+def seasonal_residuals(scores: DataFrame) -> DataFrame:
+    """Scores less their source's median at that hour of the day (the volume's score is against that already)."""
+    usual = cut(scores.groupBy("asset", "hour").agg(*(F.percentile_approx(k, 0.5, 200).alias(f"_{k}") for k in SCORES[:3])))
+    d = scores.join(usual, ["asset", "hour"], "left")
+    return d.withColumns({k: F.col(k) - F.coalesce(f"_{k}", F.lit(0.0)) for k in SCORES[:3]}).drop(*(f"_{k}" for k in SCORES[:3]))
 
-    The tail beyond the ``start`` quantile is taken as generalised Pareto. Its scale and
-    shape come from the quantiles that leave a half and a quarter of the exceedances
-    (Pickands), which the few faulty readings at the very end don't move as they would
-    move moments. The shape is the mean over all sources, weighted by their readings,
-    within ``shape_range`` (an exponential tail at most: spells of different wildness
-    make the middle of the tail look heavier than its end): a single source has too few
-    exceedances for its own. The
-    cutoff is the value that a usual reading exceeds with probability ``risk``.
-    """
-    tail = 1 - start
-    at = [start, 1 - tail / 2, 1 - tail / 4]
-    q = scores.groupBy("asset").agg(F.count(F.lit(1)).alias("n"), *(F.percentile_approx(s, F.array(*map(F.lit, at)), 2000).alias(s) for s in SCORES))
-    lo, hi = shape_range
 
-    def parts(s: str) -> tuple[Column, Column]:
-        return F.col(s)[1] - F.col(s)[0], F.col(s)[2] - F.col(s)[1]
+def tail_fits(residuals: DataFrame, risk: float = 1e-6, start: float = 0.95, gross: float = 20.0, prior: float = 2000.0, bin_width: float = 0.05) -> DataFrame:
+    """(asset, score, n, exceedances, threshold, scale, shape, cutoff): peaks over threshold, fitted per source and score.
 
-    shape = {s: F.log2(parts(s)[1] / parts(s)[0]) for s in SCORES}
-    sound = {s: (parts(s)[0] > 0) & (parts(s)[1] > 0) for s in SCORES}
-    pooled = q.agg(*(F.least(F.greatest(F.coalesce(F.try_divide(F.sum(F.when(sound[s], F.col("n") * shape[s])), F.sum(F.when(sound[s], F.col("n")))), F.lit(0.0)), F.lit(lo)), F.lit(hi)).alias(f"{s}_shape") for s in SCORES))
-    cut = {}
-    for s in SCORES:
-        xi = F.when(F.abs(f"{s}_shape") < 1e-3, 1e-3).otherwise(F.col(f"{s}_shape"))
-        scale = parts(s)[0] * xi / (F.pow(F.lit(2.0), xi) - 1)
-        cut[f"{s}_cut"] = F.col(s)[0] + scale / xi * (F.pow(F.lit(tail / risk), xi) - 1)
-    return q.crossJoin(F.broadcast(pooled)).select("asset", "n", *(x.alias(k) for k, x in cut.items()))  # one row of pooled shapes
+    The tail beyond a source's own ``start`` quantile is taken as generalised Pareto.
+    Its shape comes from the probability-weighted moments of the source's exceedances,
+    its scale from their mean given the shape. Exceedances beyond ``gross`` times their
+    median are left out of the moments, as the faults sought would make any tail heavy
+    (an exponential tail has one in a million there). A source of few exceedances has an
+    unsure shape, so it is drawn to the mean of all sources (weighted by exceedances) as
+    if that were ``prior`` exceedances more. cutoff is the residual that a usual reading
+    exceeds with probability ``risk``, the same for every source and size of input.
+
+    Moments are sums over bins of a ``bin_width``-th of the median exceedance, at most
+    gross / bin_width rows per source and score, so no source is sorted in one task.
+    Sources whose scores don't vary have no row; nulls count nowhere.
+    """
+    q = cut(residuals.groupBy("asset").agg(F.count(F.lit(1)).alias("n"), *(F.percentile_approx(s, F.array(F.lit(start), F.lit((1 + start) / 2)), 2000).alias(f"q_{s}") for s in SCORES)))
+    d = residuals.select("asset", *SCORES).join(q.drop("n"), "asset")
+
+    def exceedance(s: str) -> Column:
+        u, m = F.col(f"q_{s}")[0], F.col(f"q_{s}")[1] - F.col(f"q_{s}")[0]
+        y = (F.col(s) - u) / F.when(m > 0, m)
+        return F.when((y > 0) & (y <= gross), F.struct(F.lit(s).alias("score"), y.cast("double").alias("y")))
+
+    y = d.select("asset", F.explode(F.array_compact(F.array(*map(exceedance, SCORES)))).alias("e")).select("asset", "e.*")
+    bins = y.groupBy("asset", "score", F.floor(F.col("y") / bin_width).alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.sum("y").alias("t"))
+    w = W.partitionBy("asset", "score")
+    below = F.sum("c").over(w.orderBy("bin").rowsBetween(W.unboundedPreceding, 0)) - F.col("c") / 2
+    bins = bins.withColumn("above", 1 - below / F.sum("c").over(w))
+    fit = cut(bins.groupBy("asset", "score").agg(F.sum("c").alias("exceedances"), (F.sum("t") / F.sum("c")).alias("a0"), (F.sum(F.col("t") * F.col("above")) / F.sum("c")).alias("a1")))
+    own = F.greatest(F.lit(-1.0), F.least(F.lit(0.9), 2 - F.try_divide("a0", F.col("a0") - 2 * F.col("a1"))))  # where its moments exist
+    pooled = fit.groupBy("score").agg(F.try_divide(F.sum(own * F.col("exceedances")), F.sum("exceedances")).alias("pooled"))  # one row per score
+    k = F.col("exceedances")
+    fit = fit.withColumn("own", own).join(F.broadcast(pooled), "score").withColumn("shape", (k * F.coalesce("own", "pooled", F.lit(0.0)) + prior * F.coalesce("pooled", F.lit(0.0))) / (k + prior))
+    long = q.select("asset", "n", F.explode(F.array(*(F.struct(F.lit(s).alias("score"), F.col(f"q_{s}")[0].cast("double").alias("threshold"), (F.col(f"q_{s}")[1] - F.col(f"q_{s}")[0]).cast("double").alias("unit")) for s in SCORES))).alias("s")).select("asset", "n", "s.*")
+    xi = F.when(F.abs("shape") < 1e-4, 1e-4).otherwise(F.col("shape"))
+    fit = fit.join(long, ["asset", "score"]).withColumn("scale", F.col("unit") * F.col("a0") * (1 - xi))
+    return fit.select("asset", "score", "n", "exceedances", "threshold", "scale", "shape", (F.col("threshold") + F.col("scale") / xi * (F.pow(F.lit((1 - start) / risk), xi) - 1)).alias("cutoff"))
+
+
+def fitted_tails(bars: DataFrame, steps: DataFrame, risk: float = 1e-6) -> DataFrame:
+    """``tail_fits`` of the bars' seasonal residuals."""
+    return tail_fits(seasonal_residuals(cut(bar_scores(bars, steps))), risk)
 
 
 def flag_spikes(bars: DataFrame, steps: DataFrame, risk: float = 1e-6, least_score: float = 0.01, least_run: int = 4) -> DataFrame:
     """(bar_id, asset, reasons, implausible) of every bar with a usable time.
 
     reasons lists what holds of: impossible_value, close_spike, high_spike, low_spike,
-    volume_spike, stuck_price, stuck_volume; a score is a spike beyond its source's
-    cutoff (``tail_cutoffs``), though never below ``least_score``. A value is stuck from
-    its second reading on where it stands for more readings in a row than the source
-    shows by chance: for a tie probability of p among its n readings that is
+    volume_spike, stuck_price, stuck_volume; a seasonal residual is a spike beyond its
+    source's cutoff (``tail_fits``), though never below ``least_score``. A value is
+    stuck from its second reading on where it stands for more readings in a row than the
+    source shows by chance: for a tie probability of p among its n readings that is
     log(n / 0.001) / log(1 / p) repeats, and at least ``least_run``. Empty input gives
-    no rows; null values alone flag nothing; every redelivered row is judged by itself.
+    no rows; null values alone flag nothing; every redelivered row is judged by itself;
+    of a source with several bar lengths in ``steps`` the shortest counts.
     """
     s = cut(bar_scores(bars, steps))
-    by = s.groupBy("asset").agg(*(F.sum(F.when(F.col(r) > 0, 1 / F.col(r))).alias(f"{r}s") for r in ("price_run", "volume_run")))
-    cuts = tail_cutoffs(s, risk).join(by, "asset")
+    r = seasonal_residuals(s)
+    cuts = tail_fits(r, risk).groupBy("asset").agg(*(F.max(F.when(F.col("score") == k, F.col("cutoff"))).alias(f"{k}_cut") for k in SCORES))
+    by = s.groupBy("asset").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.when(F.col(k) > 0, 1 / F.col(k))).alias(f"{k}s") for k in ("price_run", "volume_run")))
+    cuts = cut(by.join(cuts, "asset", "left"))
 
-    def stuck(r: str) -> Column:
-        p = F.greatest(F.coalesce(F.col(f"{r}s"), F.lit(0.0)), F.lit(1.0)) / F.greatest(F.col("n"), F.lit(2))
-        return F.col(r) >= F.greatest(F.lit(least_run), F.ceil(F.log(F.col("n") / 0.001) / F.log(1 / F.least(p, F.lit(0.2)))))
+    def stuck(k: str) -> Column:
+        p = F.greatest(F.coalesce(F.col(f"{k}s"), F.lit(0.0)), F.lit(1.0)) / F.greatest(F.col("n"), F.lit(2))
+        return F.col(k) >= F.greatest(F.lit(least_run), F.ceil(F.log(F.col("n") / 0.001) / F.log(1 / F.least(p, F.lit(0.2)))))
 
-    reasons = {"impossible_value": F.col("impossible")} | {f"{k}_spike": F.col(f"{k}_score") > F.greatest(F.col(f"{k}_score_cut"), F.lit(least_score)) for k in ("close", "high", "low", "volume")} | {"stuck_price": stuck("price_run"), "stuck_volume": stuck("volume_run")}
+    reasons = {"impossible_value": F.col("impossible")} | {f"{k.removesuffix('_score')}_spike": F.col(k) > F.greatest(F.col(f"{k}_cut"), F.lit(least_score)) for k in SCORES} | {"stuck_price": stuck("price_run"), "stuck_volume": stuck("volume_run")}
     found = F.array_compact(F.array(*(F.when(x, k) for k, x in reasons.items())))
-    return s.join(small(cuts), "asset").select("bar_id", "asset", found.alias("reasons"), (F.size(found) > 0).alias("implausible"))
+    return r.join(cuts, "asset").select("bar_id", "asset", found.alias("reasons"), (F.size(found) > 0).alias("implausible"))

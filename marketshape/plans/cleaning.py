@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.fill import fill_missing, missing_values, return_missing
-from ..operators.grid import regular_grid
+from ..operators.grid import held_out_error, regular_grid
 from ..operators.rolling import daily_amounts, trailing_totals
-from ..operators.spikes import flag_spikes
-from ..session import DAY_ONE, micros, number, small, table
+from ..operators.spikes import fitted_tails, flag_spikes
+from ..session import DAY_ONE, micros, number, table
 
 
 def p1_filled(spark: SparkSession, d: str) -> DataFrame:
@@ -22,7 +22,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def grid_readings(spark: SparkSession, d: str, series: str) -> DataFrame:
     if series == "ohlcv":
-        steps = small(table(spark, d, "assets").select("asset", "bar_minutes").dropDuplicates(["asset"]))
+        steps = table(spark, d, "assets").groupBy("asset").agg(F.min("bar_minutes").alias("bar_minutes"))
         r = table(spark, d, "ohlcv").select("asset", micros("ts").alias("us"), number("close_price").alias("value"), "received_at", "bar_id").where(f"us >= {DAY_ONE} and value is not null")
         return r.join(steps, "asset").select(F.col("asset").alias("source"), (F.col("us") / 60e6).alias("minute"), F.col("bar_minutes").cast("long").alias("step"), "value", F.struct("us", micros("received_at").alias("at"), F.col("bar_id").alias("id")).alias("rank"))
     r = table(spark, d, "data_package").select("asset", micros("timestamps").alias("us"), "close_prices", "received_at", "row_id").where("us is not null")
@@ -30,12 +30,22 @@ def grid_readings(spark: SparkSession, d: str, series: str) -> DataFrame:
     return r.select(F.col("asset").alias("source"), (F.col("us") / 60e6).alias("minute"), F.lit(1440).cast("long").alias("step"), price.alias("value"), F.struct("us", micros("received_at").alias("at"), F.col("row_id").alias("id")).alias("rank"))
 
 
+SERIES = (("ohlcv", 240), ("data_package", 1440))  # and the minutes of their slots
+
+
 def p2_grid(spark: SparkSession, d: str) -> DataFrame:
-    parts = [regular_grid(grid_readings(spark, d, s), slot_minutes=m).withColumn("series", F.lit(s)) for s, m in (("ohlcv", 240), ("data_package", 1440))]
+    parts = [regular_grid(grid_readings(spark, d, s), slot_minutes=m).withColumn("series", F.lit(s)) for s, m in SERIES]
     return parts[0].unionByName(parts[1]).withColumnRenamed("source", "asset")
 
 
+def p2_held_out(spark: SparkSession, d: str) -> DataFrame:
+    """How well the factors meet a fiftieth of the cells, hidden from them."""
+    parts = [held_out_error(grid_readings(spark, d, s), slot_minutes=m).withColumn("series", F.lit(s)) for s, m in SERIES]
+    return parts[0].unionByName(parts[1])
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """The steps without a reading, from the table of filled and unsupported cells."""
     return p2_grid(spark, d).where(~F.col("has_reading")).select("series", "asset", "cell_minute")
 
 
@@ -43,6 +53,11 @@ def p3_flags(spark: SparkSession, d: str) -> DataFrame:
     return flag_spikes(table(spark, d, "ohlcv"), table(spark, d, "assets"))
 
 
+def p3_tails(spark: SparkSession, d: str) -> DataFrame:
+    """The fitted tail of every asset and score."""
+    return fitted_tails(table(spark, d, "ohlcv"), table(spark, d, "assets"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_flags(spark, d).where("implausible").select("bar_id")
 
@@ -66,7 +81,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_totals(spark, d).where(~F.col("active")).select("asset", "day_utc")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_filled, p2_found, p2_grid, p3_found, p3_flags, p5_found, p5_totals)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_filled, p2_found, p2_grid, p2_held_out, p3_found, p3_flags, p3_tails, p5_found, p5_totals)}
 
 _WORDS = "'', '-', '--', '#missing', 'n/a', 'nan', 'none', 'null', 'tbd', 'unknown'"
 _DAYS = "WITH o AS (SELECT * FROM ohlcv WHERE ts >= TIMESTAMP '1970-01-02'), span AS (SELECT asset, min(ts)::DATE a, max(ts)::DATE z FROM o WHERE asset IS NOT NULL GROUP BY 1), days AS (SELECT asset, unnest(generate_series(a::TIMESTAMP, z::TIMESTAMP, INTERVAL 1 DAY))::DATE AS dd FROM span)"

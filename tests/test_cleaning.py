@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from marketshape.operators.fill import fill_missing, missing_values
+from marketshape.operators.fill import fill_missing, mine_dependencies, missing_values
 from marketshape.operators.grid import empty_cells, factorise, occupied_cells, regular_grid
 from marketshape.operators.rolling import daily_amounts, trailing_totals
 from marketshape.operators.spikes import flag_spikes
@@ -32,7 +32,15 @@ def test_fill_by_dependency_neighbours_and_group(spark):
     assert out[3]["regime_from"] == "neighbours"
     assert out[0]["ret_from"] == "undefined" and out[6]["ret_from"] == "undefined" and out[0]["ret"] is None
     assert out[7]["close_prices"] == pytest.approx(6.5) and out[7]["close_prices_from"] == "derived"
-    assert out[9]["sector_from"] == "unfilled" and out[9]["close_prices_from"] == "unfilled"
+    assert out[9]["sector"] == "tin" and out[9]["sector_from"] == out[9]["close_prices_from"] == "group:seq"  # no asset, but a day
+
+
+def test_a_wrong_record_costs_no_dictionary(spark):
+    rows = [(s, "AB"[s % 2], "tin" if s % 2 else "wood", 1.0, 0.1, None if s == 7 else "stable") for s in range(200)] + [(200, "A", "tin", 1.0, 0.1, "stable"), (201, "A", None, 1.0, 0.1, "stable")]
+    out = {r["row_id"]: r for r in fill_missing(panel(spark, rows)).collect()}
+    assert out[201]["sector"] == "wood" and out[201]["sector_from"] == "fd:asset"
+    _, held = mine_dependencies(spark.createDataFrame([(f"a{k % 9}", k, f"s{k % 9 % 2}", float(k)) for k in range(90)], "asset string, seq bigint, sector_ok string, price double"), {"sector": "sector_ok", "price": "price"})
+    assert [(t, det) for t, det, _ in held] == [("sector", ("asset",))]
 
 
 def test_missing_values_match_a_plain_scan(spark):
