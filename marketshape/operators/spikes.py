@@ -11,6 +11,9 @@ from ..session import DAY_ONE, cut, micros, number
 
 SCORES = ("close_score", "high_score", "low_score", "volume_score")
 
+#: Where each score's tail starts. Log volumes have a normal shoulder: from lower down their tail seems to end too soon.
+STARTS = {"close_score": 0.95, "high_score": 0.95, "low_score": 0.95, "volume_score": 0.98}
+
 
 def _median(a: Column) -> Column:
     """The middle of a short array; the lower of the two middles if their number is even; null if empty."""
@@ -100,10 +103,10 @@ def seasonal_residuals(scores: DataFrame) -> DataFrame:
     return d.withColumns({k: F.col(k) - F.coalesce(f"_{k}", F.lit(0.0)) for k in SCORES[:3]}).drop(*(f"_{k}" for k in SCORES[:3]))
 
 
-def tail_fits(residuals: DataFrame, risk: float = 1e-6, start: float = 0.95, gross: float = 20.0, prior: float = 2000.0, bin_width: float = 0.05) -> DataFrame:
+def tail_fits(residuals: DataFrame, risk: float = 1e-6, starts: dict[str, float] = STARTS, gross: float = 20.0, prior: float = 2000.0, bin_width: float = 0.05) -> DataFrame:
     """(asset, score, n, exceedances, threshold, scale, shape, cutoff): peaks over threshold, fitted per source and score.
 
-    The tail beyond a source's own ``start`` quantile is taken as generalised Pareto.
+    The tail beyond a source's own ``starts`` quantile is taken as generalised Pareto.
     Its shape comes from the probability-weighted moments of the source's exceedances,
     its scale from their mean given the shape. Exceedances beyond ``gross`` times their
     median are left out of the moments, as the faults sought would make any tail heavy
@@ -116,7 +119,7 @@ def tail_fits(residuals: DataFrame, risk: float = 1e-6, start: float = 0.95, gro
     gross / bin_width rows per source and score, so no source is sorted in one task.
     Sources whose scores don't vary have no row; nulls count nowhere.
     """
-    q = cut(residuals.groupBy("asset").agg(F.count(F.lit(1)).alias("n"), *(F.percentile_approx(s, F.array(F.lit(start), F.lit((1 + start) / 2)), 2000).alias(f"q_{s}") for s in SCORES)))
+    q = cut(residuals.groupBy("asset").agg(F.count(F.lit(1)).alias("n"), *(F.percentile_approx(s, F.array(F.lit(starts[s]), F.lit((1 + starts[s]) / 2)), 2000).alias(f"q_{s}") for s in SCORES)))
     d = residuals.select("asset", *SCORES).join(q.drop("n"), "asset")
 
     def exceedance(s: str) -> Column:
@@ -134,10 +137,10 @@ def tail_fits(residuals: DataFrame, risk: float = 1e-6, start: float = 0.95, gro
     pooled = fit.groupBy("score").agg(F.try_divide(F.sum(own * F.col("exceedances")), F.sum("exceedances")).alias("pooled"))  # one row per score
     k = F.col("exceedances")
     fit = fit.withColumn("own", own).join(F.broadcast(pooled), "score").withColumn("shape", (k * F.coalesce("own", "pooled", F.lit(0.0)) + prior * F.coalesce("pooled", F.lit(0.0))) / (k + prior))
-    long = q.select("asset", "n", F.explode(F.array(*(F.struct(F.lit(s).alias("score"), F.col(f"q_{s}")[0].cast("double").alias("threshold"), (F.col(f"q_{s}")[1] - F.col(f"q_{s}")[0]).cast("double").alias("unit")) for s in SCORES))).alias("s")).select("asset", "n", "s.*")
+    long = q.select("asset", "n", F.explode(F.array(*(F.struct(F.lit(s).alias("score"), F.lit(1 - starts[s]).alias("tail"), F.col(f"q_{s}")[0].cast("double").alias("threshold"), (F.col(f"q_{s}")[1] - F.col(f"q_{s}")[0]).cast("double").alias("unit")) for s in SCORES))).alias("s")).select("asset", "n", "s.*")
     xi = F.when(F.abs("shape") < 1e-4, 1e-4).otherwise(F.col("shape"))
     fit = fit.join(long, ["asset", "score"]).withColumn("scale", F.col("unit") * F.col("a0") * (1 - xi))
-    return fit.select("asset", "score", "n", "exceedances", "threshold", "scale", "shape", (F.col("threshold") + F.col("scale") / xi * (F.pow(F.lit((1 - start) / risk), xi) - 1)).alias("cutoff"))
+    return fit.select("asset", "score", "n", "exceedances", "threshold", "scale", "shape", (F.col("threshold") + F.col("scale") / xi * (F.pow(F.col("tail") / risk, xi) - 1)).alias("cutoff"))
 
 
 def fitted_tails(bars: DataFrame, steps: DataFrame, risk: float = 1e-6) -> DataFrame:
