@@ -75,24 +75,28 @@ def _joined_up(g: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"window_id": g["window_id"].iloc[0], "node": list(root), "component": [find(n) for n in root]})
 
 
-def components(edges: DataFrame, nodes: DataFrame, most_rounds: int = 64, small_graph: int = 500) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame, group_rows: int = 200_000) -> DataFrame:
     """(window_id, node, component): the least node name of each connected part.
 
-    If no window has more than ``small_graph`` nodes, each is one group of bounded size,
-    joined up in a single shuffle; else by min-label rounds until none changes.
+    If no window has more than ``group_rows`` nodes and edges, each is one group of
+    bounded size, joined up in a single shuffle. Else every node's label falls to the
+    least one among its neighbours and then to its label's own label, so labels travel
+    twice as far every round, until none changes; both ways give the same parts.
     """
-    if (nodes.groupBy("window_id").count().agg(F.max("count")).first()[0] or 0) <= small_graph:
-        pairs = edges.select("window_id", "i", "j").unionByName(nodes.select("window_id", F.col("node").alias("i"), F.col("node").alias("j")))
-        return pairs.groupBy("window_id").applyInPandas(_joined_up, f"window_id {dict(nodes.dtypes)['window_id']}, node string, component string")
-    both = cut(both_ways(edges).select("window_id", "a", "b"))
+    key = dict(nodes.dtypes)["window_id"]
+    pairs = edges.select("window_id", "i", "j").unionByName(nodes.select("window_id", F.col("node").alias("i"), F.col("node").alias("j")))
+    if (pairs.groupBy("window_id").count().agg(F.max("count")).first()[0] or 0) <= group_rows:
+        return pairs.groupBy("window_id").applyInPandas(_joined_up, f"window_id {key}, node string, component string")
+    both = cut(both_ways(edges.withColumn("w", F.lit(1.0))).select("window_id", "a", "b"))
     label = cut(nodes.select("window_id", "node", F.col("node").alias("component")))
-    for _ in range(most_rounds):
+    while True:
         heard = both.join(label.select("window_id", F.col("node").alias("b"), F.col("component").alias("c")), ["window_id", "b"]).groupBy("window_id", F.col("a").alias("node")).agg(F.min("c").alias("c"))
-        new = cut(label.join(heard, ["window_id", "node"], "left").select("window_id", "node", F.least("component", F.coalesce("c", "component")).alias("component"), (F.col("c") < F.col("component")).alias("moved")))
-        if new.where("moved").isEmpty():
-            return new.drop("moved")
+        near = cut(label.join(heard, ["window_id", "node"], "left").select("window_id", "node", F.col("component").alias("was"), F.least("component", F.coalesce("c", "component")).alias("component")))
+        jump = near.select("window_id", F.col("node").alias("component"), F.col("component").alias("to"))
+        new = cut(near.join(jump, ["window_id", "component"]).select("window_id", "node", F.col("to").alias("component"), (F.col("to") < F.col("was")).alias("moved")))
         label = new.drop("moved")
-    return label
+        if new.where("moved").isEmpty():
+            return label
 
 
 def graph_metrics(edges: DataFrame, nodes: DataFrame, parts: DataFrame) -> DataFrame:

@@ -81,8 +81,10 @@ def test_laplacian_walk_and_heat(spark):
 def test_walk_reaches_degrees_and_metrics(spark):
     e = edges(spark, ("a", "b", 1.0), ("a", "c", 1.0), ("b", "c", 1.0), ("b", "d", 1.0), ("c", "d", 1.0))
     n = M.nodes_of(e.withColumnRenamed("w", "c")).unionByName(spark.createDataFrame([(0, "z")], "window_id bigint, node string"))
-    parts = [{tuple(r) for r in M.components(e, n, small_graph=k).select("window_id", "node", "component").collect()} for k in (0, 500)]
+    parts = [{tuple(r) for r in M.components(e, n, group_rows=k).select("window_id", "node", "component").collect()} for k in (0, 500)]
     assert parts[0] == parts[1] and len(parts[0]) == 5
+    path = edges(spark, *((f"n{k * 7 % 41:02d}", f"n{(k + 1) * 7 % 41:02d}", 1.0) for k in range(40)))
+    assert {r["component"] for r in M.components(path, M.nodes_of(path.withColumnRenamed("w", "c")), group_rows=0).collect()} == {"n00"}
     m = M.graph_metrics(e, n, M.components(e, n)).first()
     assert (m["n_nodes"], m["n_edges"], m["n_components"]) == (5, 5, 2) and m["density"] == 0.5
     got = {r["node"]: r["x"] for r in M.random_walk(e, n.where("node <> 'z'"), 16).collect()}
