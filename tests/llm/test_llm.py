@@ -1,34 +1,36 @@
 """The operators for language-model data on small fixtures."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from marketshape.llm.clusters import cluster_windows, describe_clusters, pivot_components, sound_windows
+from marketshape.llm.clusters import cluster_windows, describe_clusters, pivot_clusters, pivot_rounds, scaled_points, sound_windows
 from marketshape.llm.mixing import mix_sources, water_fill
-from marketshape.llm.packing import best_fit, pack_items
+from marketshape.llm.packing import best_fit, least_cost, pack_items
 from marketshape.llm.toxicity import Words, plain, score_documents, source_rates
+from marketshape.session import cut
 
 
-def test_pivot_components_equal_union_find(spark):
+def test_pivots_cover_all_and_lie_apart_in_a_round(spark):
     g = random.Random(3)
-    pairs = {(g.randrange(120), g.randrange(120)) for _ in range(110)}
-    pairs = {(a, b) for a, b in pairs if a != b}
-    both = [(a, b, 1.0) for x, y in pairs for a, b in ((x, y), (y, x))]
-    got = {r["node"]: r["pivot"] for r in pivot_components(spark.createDataFrame(both, "a bigint, b bigint, d double")).collect()}
-    parent = {n: n for n in got}
+    rows = [(k % 90, g.random(), g.random() * 2) for k in range(400)] + [(500, 0.5, 0.5)] * 3
+    r = pivot_clusters(spark.createDataFrame(rows, "id bigint, a double, b double"), "id", ["a", "b"], 0.4).collect()
+    assert len(r) == 403 and max(x["distance"] for x in r) <= 0.4
+    z, _ = scaled_points(spark.createDataFrame(rows, "id bigint, a double, b double"), "id", ["a", "b"], 0.4)
+    p = [(x["z0"], x["z1"]) for x in pivot_rounds(z, 2, 0.4).collect()]
+    assert all(min(math.dist(q, (x["z0"], x["z1"])) for q in p) <= 0.4 for x in z.collect())
+    assert sum(math.dist(a, b) <= 0.4 for i, a in enumerate(p) for b in p[:i]) == 0  # a later round's records are none of an earlier one's
 
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
 
-    for a, b in pairs:
-        parent[find(a)] = find(b)
-    for a in got:
-        for b in got:
-            assert (got[a] == got[b]) == (find(a) == find(b))
+@pytest.mark.parametrize("others", [5_000, 40_000])
+def test_a_small_group_is_found_whatever_the_rest(spark, others):
+    x = spark.range(others + 60).select("id", *(F.when(F.col("id") < 60, 2.0 + 0.01 * F.randn(i)).otherwise((F.xxhash64("id", F.lit(i)) % 2 + F.randn(i + 9) * 0.1).cast("double")).alias(f"f{i}") for i in range(4)))
+    m = cluster_windows(cut(x), "id", [f"f{i}" for i in range(4)])
+    got = {r["cluster_id"]: r["n"] for r in m.where("id < 60").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert list(got.values()) == [60] and None not in got
+    assert m.where(F.col("cluster_id") == list(got)[0]).count() == 60
 
 
 def test_clusters_of_blobs(spark):
@@ -56,6 +58,7 @@ def test_best_fit_and_packing(spark):
 
     where, used = best_fit(np.array([6, 5, 4, 3, 2]), [10], 10)
     assert sorted(used) == [10, 10] and len(where) == 5
+    assert least_cost(6, [8, 16], [1, 1], 0) == 8 and least_cost(6, [8, 16], [4, 6], 0) == 16
     g = random.Random(2)
     items = [(i, g.choice([0, 1, 7, 90, 400, 1500, None])) for i in range(400)] + [(7, 3), (7, 3)]
     kinds = {"s": 100, "m": 1000}
@@ -73,10 +76,23 @@ def test_best_fit_and_packing(spark):
     assert pack_items(spark.createDataFrame([], "doc_id bigint, size bigint"), kinds).count() == 0
 
 
-def test_water_fill():
-    give = water_fill({"a": 10, "b": 1000, "c": 1000}, {"a": 0.5, "b": 0.25, "c": 0.25}, {"a": 2, "b": 1, "c": 1}, 2010)
-    assert give == {"a": 20, "b": 995.0, "c": 995.0}
-    assert water_fill({"a": 1}, {"a": 1.0}, {"a": 2}, 10) == {"a": 2.0}
+def test_water_fill(spark):
+    t = spark.createDataFrame([("a", 0.5, 2, 10), ("b", 0.25, 1, 1000), ("c", 0.25, 1, 1000)], "source string, target_share double, max_repeats int, size bigint")
+    got = {r["source"]: r for r in water_fill(t, 2010.0).collect()}
+    assert {k: r["give"] for k, r in got.items()} == {"a": 20, "b": 995.0, "c": 995.0} and [k for k, r in got.items() if r["short"]] == ["a"]
+    one = water_fill(t.where("source = 'a'").withColumn("target_share", F.lit(1.0)), 30.0).first()
+    assert one["give"] == 20.0 and one["short"]
+
+
+def test_one_missing_id_may_hold_most_rows(spark):
+    rows = [(None if k % 3 else k, "a", 10) for k in range(3000)]
+    t = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    items = spark.createDataFrame([*rows, *((k, "b", 10) for k in range(1000))], "doc_id bigint, source string, size bigint")
+    m, rep = mix_sources(items, t)
+    got = {r["source"]: r["mixed_size"] for r in rep.collect()}
+    assert got["b"] == 10_000 and got["a"] == 30_000 and m.count() == 4000
+    p = pack_items(items, {"s": 100}, shard_items=500)
+    assert p.count() == 4000 and p.select("container_id").distinct().count() <= 400 + 8
 
 
 def test_mixture_reaches_shares(spark):
