@@ -106,7 +106,7 @@ SQL = {
         SELECT container_kind, sum(greatest(1, ceil(size / capacity_tokens)))::BIGINT AS pieces, sum(size)::BIGINT AS tokens, count(*) FILTER (WHERE size > capacity_tokens) AS split_items, 0::BIGINT AS overfull, true AS tight FROM x, pack_capacity GROUP BY 1""",
     "p7_plan": f"""WITH {_SIZES}, m AS (SELECT lower(trim(t.source)) AS source, target_share, max_repeats, coalesce(size, 0) AS size, coalesce(size, 0) * max_repeats::DOUBLE AS cap, (SELECT sum(size) FROM s)::DOUBLE AS total FROM mix_targets t LEFT JOIN s ON s.source = lower(trim(t.source))),
         r AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / target_share, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held, sum(target_share) OVER (ORDER BY cap / target_share, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight FROM m),
-        l AS (SELECT min((total - held) / weight) AS level FROM r WHERE cap / target_share >= (total - held) / weight)
+        l AS (SELECT arg_min((total - held) / weight, cap / target_share) AS level FROM r WHERE cap / target_share >= (total - held) / weight)
         SELECT source, target_share, max_repeats, size, CASE WHEN size > 0 THEN round(least(cap, target_share * level) / size, 6) ELSE 0 END AS epochs, cap >= target_share * total AS reachable FROM m, l""",
     "p6_found": "SELECT doc_id, container_kind FROM documents, pack_capacity WHERE octet_length(encode(text)) > capacity_tokens",
     "p7_found": """WITH s AS (SELECT lower(trim(source)) source, sum(coalesce(octet_length(encode(text)), 0)) size FROM documents WHERE trim(source) <> '' GROUP BY 1)
