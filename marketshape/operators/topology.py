@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -14,13 +13,38 @@ from pyspark.sql import Window as W
 INF = float("inf")
 
 
+def _simplices(m: np.ndarray, dim: int, longest: float) -> tuple[np.ndarray, np.ndarray]:
+    """(corners, length) of all simplices of ``dim`` with no edge beyond ``longest``, in filtration order: by length, then corners."""
+    corners = np.arange(len(m))[:, None]
+    length = np.zeros(len(m))
+    for _ in range(dim):  # grow by a corner beyond the last; a simplex is as long as its longest edge
+        at, new = np.nonzero(np.arange(len(m))[None, :] > corners[:, -1:])
+        reach = np.maximum(length[at], m[corners[at], new[:, None]].max(axis=1))
+        keep = reach <= longest
+        corners, length = np.column_stack([corners[at[keep]], new[keep]]), reach[keep]
+    order = np.lexsort((*corners.T[::-1], length))
+    return corners[order], length[order]
+
+
+def _rank(corners: np.ndarray, n: int) -> np.ndarray:
+    """A number for every simplex, by its corners as digits."""
+    out = np.zeros(len(corners), np.int64)
+    for c in corners.T:
+        out = out * n + c
+    return out
+
+
 def persistence(names: list, d: dict[tuple[int, int], float], top_dim: int = 1, longest: float = INF) -> list[tuple[int, float, float]]:
-    """(dim, birth, death) of the Vietoris-Rips filtration of at most a few dozen points.
+    """(dim, birth, death) of the Vietoris-Rips filtration of a small set of points.
 
     Dimension 0 merges components edge by edge; each merge is a bar from 0, each
     component left an infinite one. Higher dimensions reduce the boundary matrix over
-    two elements, columns in the order of the filtration, bars of no length dropped. An
-    absent distance, or one above ``longest``, is no edge.
+    two elements from the top down: a simplex that ends a bar of the dimension above
+    can't start another reduction, so its column is cleared unseen; columns are whole
+    numbers whose bits are rows, so adding two is one operation. Simplices longer than
+    the distance within which one point sees all others can't start or end a bar of any
+    length and are never made. Bars of no length are dropped. An absent distance, or one
+    above ``longest``, is no edge.
     """
     n = len(names)
     edges = sorted((w, e) for e, w in d.items() if w is not None and w == w and w <= longest)
@@ -32,57 +56,61 @@ def persistence(names: list, d: dict[tuple[int, int], float], top_dim: int = 1,
             x = parent[x]
         return x
 
-    bars, cycle_edges = [], []
+    bars, loops = [], set()
     for w, (i, j) in edges:
         a, b = find(i), find(j)
         if a != b:
             parent[max(a, b)] = min(a, b)
             bars.append((0, 0.0, w))
         else:
-            cycle_edges.append((i, j))
+            loops.add((i, j))
     bars += [(0, 0.0, INF)] * sum(find(x) == x for x in range(n))
-    at = {e: w for w, e in edges}
-    born = {(1, e): at[e] for e in cycle_edges}
-    for dim in range(1, top_dim + 1):
-        faces = []
-        for s in combinations(range(n), dim + 2):
-            ws = [at.get(e) for e in combinations(s, 2)]
-            if None not in ws:
-                faces.append((max(ws), s))
-        faces.sort()
-        order = {}
-        for k in sorted(((max(at[e] for e in combinations(f, 2)), f) for f in {f for _, s in faces for f in combinations(s, dim + 1)} | {e for q, e in born if q == dim})):
-            order[k[1]] = len(order)
-        reduced: dict[int, frozenset] = {}
-        by_index = {v: k for k, v in order.items()}
-        paired = set()
-        for w, s in faces:
-            column = {order[f] for f in combinations(s, dim + 1)}
-            while column and (low := max(column)) in reduced:
+    if top_dim < 1 or n < 3:
+        return bars + [(1, w, INF) for w, e in edges if e in loops and top_dim >= 1]
+    m = np.full((n, n), INF)
+    np.fill_diagonal(m, 0.0)
+    for w, (i, j) in edges:
+        m[i, j] = m[j, i] = w
+    enclosing = float(m.max(axis=1).min())
+    most = min(enclosing, float(m[m < INF].max()))
+    levels = {q: _simplices(m, q, most) for q in range(1, top_dim + 2)}
+    cleared = {q: np.zeros(len(levels[q][1]), bool) for q in levels}
+    for q in range(top_dim + 1, 1, -1):
+        corners, length = levels[q]
+        below, born = levels[q - 1]
+        ranks = _rank(below, n)
+        by_rank = np.argsort(ranks)
+        rows = np.column_stack([by_rank[np.searchsorted(ranks, _rank(np.delete(corners, k, axis=1), n), sorter=by_rank)] for k in range(q + 1)]).tolist() if len(corners) else []
+        reduced: dict[int, int] = {}
+        for k in range(len(corners)):
+            if cleared[q][k]:
+                continue
+            column = 0
+            for r in rows[k]:
+                column ^= 1 << r
+            while column and (low := column.bit_length() - 1) in reduced:
                 column ^= reduced[low]
             if column:
-                low = max(column)
-                reduced[low] = frozenset(column)
-                paired.add(low)
-                b = max(at[e] for e in combinations(by_index[low], 2))
-                if w > b:
-                    bars.append((dim, b, w))
-            elif dim < top_dim:
-                born[(dim + 1, s)] = w
-        bars += [(dim, w, INF) for (q, f), w in born.items() if q == dim and order[f] not in paired]
+                reduced[low] = column
+                cleared[q - 1][low] = True
+                if length[k] > born[low]:
+                    bars.append((q - 1, float(born[low]), float(length[k])))
+            elif q <= top_dim:
+                bars.append((q, float(length[k]), INF))
+    corners, length = levels[1]
+    bars += [(1, float(w), INF) for (i, j), w, gone in zip(corners.tolist(), length, cleared[1], strict=True) if not gone and (i, j) in loops]
     return bars
 
 
 def diagrams(distances: DataFrame, top_dim: int = 1, longest: float = INF) -> DataFrame:
     """(window_id, dim, birth, death), infinite deaths as Infinity, from (window_id, i, j, d), i < j; null distances are no edges.
 
-    A window is one group of N(N-1)/2 rows; dimension 2 needs N of at most 20.
+    A window is one group of N(N-1)/2 rows, whose simplices of ``top_dim`` + 1 are held
+    in memory: about N^3 / 6 triangles for dimension 1, N^4 / 24 tetrahedra for 2.
     """
 
     def f(g: pd.DataFrame) -> pd.DataFrame:
         names = sorted(set(g["i"]) | set(g["j"]))
-        if top_dim > 1 and len(names) > 20:
-            raise ValueError("dimension 2 needs at most 20 points")
         at = {k: n for n, k in enumerate(names)}
         d = {tuple(sorted((at[i], at[j]))): (None if w is None or math.isnan(w) else float(w)) for i, j, w in zip(g["i"], g["j"], g["d"], strict=True) if i != j}
         bars = persistence(names, d, top_dim, longest)
@@ -91,6 +119,22 @@ def diagrams(distances: DataFrame, top_dim: int = 1, longest: float = INF) -> Da
     return distances.select("window_id", "i", "j", "d").groupBy("window_id").applyInPandas(f, "window_id bigint, dim int, birth double, death double")
 
 
+def diagrams_of_returns(panel: DataFrame, top_dim: int = 1, signed: bool = False, use_correlation: bool = True, longest: float = INF) -> DataFrame:
+    """The diagrams of a panel (asset, seq, ret) as a whole, window_id 0: assets by correlation distance, or without
+    ``use_correlation`` periods by the Euclidean distance of their returns (those of all assets only)."""
+    if use_correlation:
+        from ..functions.rules import abs_distance, signed_distance
+        from .matrix import correlation_matrix
+
+        d = correlation_matrix(panel).where("i < j").select(F.lit(0).cast("bigint").alias("window_id"), "i", "j", (signed_distance("c") if signed else abs_distance("c")).alias("d"))
+        return diagrams(d, top_dim, longest)
+    p = panel.where("ret is not null").select("seq", "asset", "ret")
+    assets = p.select("asset").distinct().count()
+    a, b = (p.select("asset", F.format_string("%012d", "seq").alias(k), F.col("ret").alias(x)) for k, x in (("i", "x"), ("j", "y")))
+    d = a.join(b, "asset").where("i < j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.sum((F.col("x") - F.col("y")) * (F.col("x") - F.col("y")))).alias("d"))
+    return diagrams(d.where(F.col("n") == assets).select(F.lit(0).cast("bigint").alias("window_id"), "i", "j", "d"), top_dim, longest)
+
+
 def finite_bars(diagram: DataFrame, dim: int) -> DataFrame:
     """The finite bars of one dimension: (window_id, birth, death); none if it has none."""
     return diagram.where((F.col("dim") == dim) & (F.col("death") < F.lit(INF))).select("window_id", "birth", "death")
