@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from functools import reduce
-from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,15 +29,17 @@ def _squares(pairs: list[tuple[Column, Column]]) -> Column:
     return reduce(lambda x, y: x + y, [(a - b) * (a - b) for a, b in pairs])
 
 
-def _around(dims: int, reach: int) -> Column:
-    """The texts of all cells within ``reach`` cells of (k0, k1, ...) in every direction."""
-    return F.array(*(F.concat_ws(",", *((F.col(f"k{i}") + x).cast("string") for i, x in enumerate(o))) for o in product(range(-reach, reach + 1), repeat=dims)))
+def _spread(d: DataFrame, dims: int, reach: int) -> DataFrame:
+    """Every row once for each cell within ``reach`` cells of its own in every direction, with that cell's text."""
+    for i in range(dims):
+        d = d.withColumn(f"k{i}", F.explode(F.sequence(F.col(f"k{i}") - reach, F.col(f"k{i}") + reach)))
+    return d.withColumn("cell", F.concat_ws(",", *(F.col(f"k{i}") for i in range(dims))))
 
 
 def _map_of(pivots: DataFrame, dims: int, reach: int = 1) -> DataFrame:
     """(cell, pivots): for every cell the pivots in it and around it; they lie apart, so they are few however many records there are."""
     one = F.struct("pivot", F.array(*(F.col(f"z{i}") for i in range(dims))).alias("z"))
-    return pivots.select(F.explode(_around(dims, reach)).alias("cell"), one.alias("p")).groupBy("cell").agg(F.collect_list("p").alias("pivots"))
+    return _spread(pivots, dims, reach).groupBy("cell").agg(F.collect_list(one).alias("pivots"))
 
 
 def _distances(dims: int) -> Column:
@@ -63,8 +64,8 @@ def pivot_rounds(points: DataFrame, dims: int, radius: float) -> DataFrame:
     left, found = points, None
     while not left.isEmpty():
         lowest = F.min(F.struct(F.xxhash64("row").alias("h"), "row", *zs, *ks)).alias("m")
-        candidates = left.groupBy("cell").agg(lowest).select("cell", "m.*")
-        lower = candidates.select(F.explode(_around(dims, 1)).alias("cell"), "h", "row", *zs)
+        candidates = cut(left.groupBy("cell").agg(lowest).select("cell", "m.*"))
+        lower = _spread(candidates.drop("cell"), dims, 1).select("cell", "h", "row", *zs)
         other = candidates.select("cell", F.col("h").alias("h2"), F.col("row").alias("row2"), *(F.col(z).alias(f"{z}_2") for z in zs))
         beaten = lower.join(other, "cell").where((F.struct("h2", "row2") < F.struct("h", "row")) & (_squares([(F.col(z), F.col(f"{z}_2")) for z in zs]) <= radius * radius)).select("row").distinct()
         pivots = cut(candidates.join(beaten, "row", "left_anti").select(F.col("row").alias("pivot"), *zs, *ks))
