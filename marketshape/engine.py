@@ -25,7 +25,7 @@ class EngineConfig:
     window: int = 100
     edge_threshold: float = 0.3
     longest_edge: float = 2.0
-    top_dim: int = 1
+    top_dim: int = 2
     baseline: int = 30
     n_std: float = 2.0
     instability_threshold: float = 0.5
@@ -88,7 +88,7 @@ def topology_features(corr: DataFrame, distance: str, top_dim: int = 1, longest:
     return out
 
 
-class TopologyEngine:
+class GatedEngine:
     """A price model's probability gated by the market's topology, for every period at once.
 
     ``fit`` trains the classifier on the bars (asset, seq, open .. volume) of one asset,
@@ -98,7 +98,7 @@ class TopologyEngine:
     def __init__(self, config: EngineConfig = EngineConfig()):  # noqa: B008
         self.config, self.model, self.asset = config, None, None
 
-    def fit(self, bars: DataFrame, asset: str | None = None, rounds: int = 100) -> TopologyEngine:
+    def fit(self, bars: DataFrame, asset: str | None = None, rounds: int = 500) -> GatedEngine:
         self.asset = asset or bars.agg(F.min("asset")).first()[0]
         f = cut(X.nn_targets(X.nn_features(bars.where(F.col("asset") == self.asset))))
         self.model = X.train_classifier(f, layers=self.config.hidden_layers, rounds=rounds, seed=self.config.seed)
@@ -159,6 +159,35 @@ class MutualModel:
         return out.select("window_id", F.col("node").alias("asset"), F.col("x").alias("residual"), "heat", "signal", "regime", "confidence", "stability", R.position_size("signal", "stability", "regime", "confidence", c.base, c.top, c.low, c.multipliers).alias("position"))
 
 
+    def risk_adjusted(self, details: DataFrame, signals: DataFrame) -> DataFrame:
+        """(window_id, asset, position): another model's signals (window_id, asset, signal) sized by the regime and stability that ``run`` found."""
+        c = self.config
+        d = details.select("window_id", "regime", "confidence", "stability").distinct()
+        return signals.join(d, "window_id").select("window_id", "asset", R.position_size("signal", "stability", "regime", "confidence", c.base, c.top, c.low, c.multipliers).alias("position"))
+
+
+def market_signal(signals: DataFrame) -> DataFrame:
+    """(window_id, signal): the mean over all assets of the window."""
+    return signals.groupBy("window_id").agg(F.avg("signal").alias("signal"))
+
+
+def rolling_fits(signals: DataFrame, fit: Callable[[DataFrame], object], predict: Callable[[object, DataFrame], DataFrame], train: int, test: int) -> DataFrame:
+    """Backtest metrics of a model fitted anew on ``train`` periods and used on the ``test`` periods after them, window by window.
+
+    ``fit`` takes (asset, seq, ret), ``predict`` adds signal. The windows are a loop of
+    the driver, as each fits a model; their backtests are one job.
+    """
+    end = signals.agg(F.max("seq")).first()[0]
+    out = None
+    for k, at in enumerate(range(train, (-1 if end is None else int(end)) + 1 - test + 1, test)):
+        model = fit(signals.where((F.col("seq") >= at - train) & (F.col("seq") < at)))
+        x = predict(model, signals.where((F.col("seq") >= at) & (F.col("seq") < at + test))).select(F.lit(f"{k:04d}").alias("strategy"), "asset", (F.col("seq") - at).alias("seq"), "ret", "signal")
+        out = x if out is None else out.unionByName(x)
+    if out is None:
+        raise ValueError("the panel is shorter than one training and one test stretch")
+    return X.backtest_metrics(X.backtest(out), ["strategy"])
+
+
 Train, Predict, Metric = Callable[[DataFrame], object], Callable[[object, DataFrame], DataFrame], Callable[[DataFrame], dict[str, float]]
 
 
@@ -187,11 +216,12 @@ def stress(panel: DataFrame, evaluate: Callable[[DataFrame], DataFrame], method:
     """(per-metric summary, robustness) of ``evaluate`` over simulated panels against the panel itself.
 
     ``evaluate`` takes rows (sim_id, seq, asset, ret) of all simulations and gives
-    (sim_id, metric, value): one job for all of them.
+    (sim_id, metric, value): one job for all of them. A value that is null or not a
+    number is a failed simulation and left out; if all of a metric are, it has no row.
     """
     sims = cut(X.simulate(panel, method, config.simulations, config.seed, config.block, config.keep_correlation))
     real = evaluate(panel.where("ret is not null").select(F.lit(0).cast("bigint").alias("sim_id"), "seq", "asset", "ret"))
-    summary = cut(X.stress_aggregate(evaluate(sims), cut(real.select("metric", F.col("value").alias("original")))))
+    summary = cut(X.stress_aggregate(evaluate(sims).where("value is not null and not isnan(value)"), cut(real.select("metric", F.col("value").alias("original")))))
     return summary, X.robustness(summary)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..session import small
+from .matrix import pairs_of
 
 # ---------------------------------------------------------------- backtest
 
@@ -141,13 +142,31 @@ def cpcv_splits(spark: SparkSession, n: int, groups: int = 5, tests: int = 2, pu
 # ---------------------------------------------------------------- stress
 
 
+def draw(below: Column, *key: Column) -> Column:
+    """A whole number from 0 to below ``below``, drawn by the MD5 of the key, so any engine can repeat it."""
+    return F.conv(F.substring(F.md5(F.concat_ws("-", *(k.cast("string") for k in key))), 1, 8), 16, 10).cast("bigint") % below
+
+
+def _symmetric(rows: list, names: list[str]) -> np.ndarray:
+    """The matrix of (i, j, c), i <= j, made positive definite by a shift of its diagonal if it isn't; no entry counts 0."""
+    at = {k: n for n, k in enumerate(names)}
+    m = np.zeros((len(names), len(names)))
+    for r in rows:
+        m[at[r["i"]], at[r["j"]]] = m[at[r["j"]], at[r["i"]]] = r["c"] or 0.0
+    least = np.linalg.eigvalsh(m).min()
+    return m if least > 0 else m - 1.5 * min(least, -1e-12) * np.eye(len(m))
+
+
 def simulate(panel: DataFrame, method: str, sims: int = 10, seed: int = 42, block: int | None = None, keep_correlation: bool = True) -> DataFrame:
     """(sim_id, seq, asset, ret): synthetic panels by gbm, copula, bootstrap, shuffle or parametric.
 
     bootstrap joins random blocks of periods by their index, shuffle permutes periods (or
-    each asset's own); both are joins on a simulated index. The normal models draw from
-    the sample's means and covariances, a matrix of assets that one task per simulation
-    holds. Simulations are spread over tasks.
+    each asset's own); both are joins on a simulated index whose draws any engine can
+    repeat. The normal models (gbm, parametric, copula) need the means and the
+    covariances of every two assets over the periods both have, one aggregation whose
+    matrix of assets comes to the driver; copula takes those of the normal scores of the
+    ranks, and its draws meet the asset's own sorted returns in a join. Draws are made by
+    simulation and chunk of periods, so no task holds a whole simulation.
     """
     p = panel.where("ret is not null").select("seq", "asset", "ret")
     spark = panel.sparkSession
@@ -159,43 +178,56 @@ def simulate(panel: DataFrame, method: str, sims: int = 10, seed: int = 42, bloc
     if method == "bootstrap":
         b = block or min(20, max(5, n // 20))
         at = sim.withColumn("seq", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")))  # the result's own rows
-        u = F.pmod(F.xxhash64(F.lit(seed), "sim_id", F.floor(F.col("seq") / b)), F.lit(max(1, n - b)))
+        u = draw(F.lit(max(1, n - b)), F.lit(seed), F.col("sim_id"), F.floor(F.col("seq") / b))
         return at.withColumn("from", u + F.col("seq") % b + first).join(p.withColumnRenamed("seq", "from"), "from").select("sim_id", "seq", "asset", "ret")
     if method == "shuffle":
         key = ["sim_id"] if keep_correlation else ["sim_id", "asset"]
         all_rows = sim.crossJoin(p if not keep_correlation else p.select("seq").distinct())  # the result's own rows
-        order = F.xxhash64(F.lit(seed), *key, "seq")
+        order = F.md5(F.concat_ws("-", F.lit(str(seed)), *(F.col(k).cast("string") for k in (*key, "seq"))))
         all_rows = all_rows.withColumn("to", (F.row_number().over(W.partitionBy(*key).orderBy(order, "seq")) - 1).cast("bigint"))
         d = all_rows.join(p, "seq") if keep_correlation else all_rows
         return d.select("sim_id", F.col("to").alias("seq"), "asset", "ret")
     if method not in ("gbm", "parametric", "copula"):
         raise ValueError(f"Unknown method: {method}")
-    m = p.groupBy("seq").pivot("asset").agg(F.first("ret")).na.drop().orderBy("seq").toPandas().drop(columns="seq")  # the one panel all simulations model: periods x assets
-    names, x = list(m.columns), m.to_numpy()
-    mean, cov = x.mean(axis=0), np.atleast_2d(np.cov(x.T))
-    if not keep_correlation:
-        cov = np.diag(np.diag(cov))
-    least = np.linalg.eigvalsh(cov).min()
-    if least <= 0:
-        cov = cov - 1.5 * min(least, -1e-12) * np.eye(len(cov))
-    root = np.linalg.cholesky(cov)
+    about = {r["asset"]: r for r in p.groupBy("asset").agg(F.avg("ret").alias("mean"), F.count(F.lit(1)).alias("n")).collect()}  # a row per asset
+    names = sorted(about)
+    if method == "copula":
+        w = W.partitionBy("asset")
+        p = p.withColumns({"k": F.row_number().over(w.orderBy("ret", "seq")) - 1, "rank": F.rank().over(w.orderBy("ret")) + (F.count(F.lit(1)).over(W.partitionBy("asset", "ret")) - 1) / 2, "n": F.count(F.lit(1)).over(w)})
+        q = p.withColumn("score", normal_score(F.col("rank") / (F.col("n") + 1)))
+        pairs = pairs_of(q, "score", same=True).groupBy("i", "j").agg(F.corr("x", "y").alias("c"))
+    else:
+        pairs = pairs_of(p, same=True).groupBy("i", "j").agg(F.covar_samp("x", "y").alias("c"))
+    cov = _symmetric(pairs.collect(), names)  # assets x assets
+    root = np.linalg.cholesky(cov if keep_correlation else np.diag(np.diag(cov)))
+    mean, size = np.array([about[k]["mean"] for k in names]), np.array([about[k]["n"] for k in names])
+    chunk = max(1, 50_000 // len(names))
+    chunks = -(-n // chunk)
 
     def run(batches):
+        erf = np.frompyfunc(math.erf, 1, 1)
         for b in batches:
-            for s in b["sim_id"]:
-                g = np.random.default_rng([seed, int(s)])
+            for i in b["id"].tolist():
+                s, part = divmod(i, chunks)
+                rows = min(chunk, n - part * chunk)
+                y = np.random.default_rng([seed, s, part]).standard_normal((rows, len(names))) @ root.T
                 if method == "copula":
-                    normal = NormalDist()
-                    score = pd.DataFrame(x).rank().to_numpy() / (len(x) + 1)
-                    z = np.vectorize(normal.inv_cdf)(score)
-                    c = np.linalg.cholesky(np.atleast_2d(np.corrcoef(z.T)) + 1e-10 * np.eye(len(names)))
-                    u = np.vectorize(normal.cdf)(g.standard_normal(x.shape) @ c.T)
-                    y = np.take_along_axis(np.sort(x, axis=0), np.clip((u * len(x)).astype(int), 0, len(x) - 1), axis=0)
+                    u = 0.5 + 0.5 * erf(y / np.sqrt(np.diag(cov)) / math.sqrt(2)).astype(float)
+                    y = np.clip((u * size).astype(np.int64), 0, size - 1)
                 else:
-                    y = mean + g.standard_normal(x.shape) @ root.T
-                yield pd.DataFrame({"sim_id": int(s), "seq": np.repeat(np.arange(len(x)), len(names)), "asset": names * len(x), "ret": y.ravel()})
+                    y = mean + y
+                yield pd.DataFrame({"sim_id": s, "seq": np.repeat(np.arange(rows) + part * chunk, len(names)), "asset": names * rows, "x": y.ravel()})
+
+    drawn = spark.range(sims * chunks).repartition(max(1, min(sims * chunks, spark.sparkContext.defaultParallelism * 4))).mapInPandas(run, f"sim_id bigint, seq bigint, asset string, x {'bigint' if method == 'copula' else 'double'}")
+    if method == "copula":
+        return drawn.join(p.select("asset", F.col("k").cast("bigint").alias("x"), "ret"), ["asset", "x"]).select("sim_id", "seq", "asset", "ret")
+    return drawn.withColumnRenamed("x", "ret")
 
-    return sim.repartition(min(sims, 64), "sim_id").mapInPandas(run, "sim_id bigint, seq bigint, asset string, ret double")
+
+@F.pandas_udf("double")
+def normal_score(u: pd.Series) -> pd.Series:
+    """The quantile of the standard normal distribution; null for null."""
+    return u.map(NormalDist().inv_cdf, na_action="ignore").astype(float)
 
 
 def correlation_preservation(a: DataFrame, b: DataFrame, tolerance: float = 0.15) -> DataFrame:
@@ -249,13 +281,15 @@ def standardise(df: DataFrame, names: list[str], suffix: str = "", weight: float
     return d.withColumns({f"{k}{suffix}": (F.col(k) - F.col(f"m_{k}")) / F.when(F.col(f"s_{k}") > 1e-12, F.col(f"s_{k}")).otherwise(1.0) * weight for k in names}).drop(*about.columns)
 
 
-def train_classifier(df: DataFrame, features: list[str] = FEATURES, label: str = "target", layers: tuple[int, ...] = (100, 50), rounds: int = 100, seed: int = 42):
-    """A fitted multilayer perceptron (pipeline of assembler and network) on standardised features."""
+def train_classifier(df: DataFrame, features: list[str] = FEATURES, label: str = "target", layers: tuple[int, ...] = (100, 50), rounds: int = 500, seed: int = 42):
+    """A fitted multilayer perceptron on features less their mean per population spread (1 where it is 0), in at most ``rounds`` rounds."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import MultilayerPerceptronClassifier
-    from pyspark.ml.feature import StandardScaler
+    from pyspark.ml.feature import SQLTransformer
 
-    steps = [VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="keep"), StandardScaler(inputCol="raw", outputCol="x", withMean=True), MultilayerPerceptronClassifier(featuresCol="x", labelCol=label, layers=[len(features), *layers, 2], maxIter=rounds, seed=seed)]
+    a = df.agg(*(F.avg(k).alias(f"m{i}") for i, k in enumerate(features)), *(F.stddev_pop(k).alias(f"s{i}") for i, k in enumerate(features))).first()
+    scaled = ", ".join(f"(`{k}` - {a[f'm{i}'] or 0.0!r}D) / {(a[f's{i}'] if (a[f's{i}'] or 0) > 1e-12 else 1.0)!r}D AS _x{i}" for i, k in enumerate(features))
+    steps = [SQLTransformer(statement=f"SELECT *, {scaled} FROM __THIS__"), VectorAssembler(inputCols=[f"_x{i}" for i in range(len(features))], outputCol="x", handleInvalid="keep"), MultilayerPerceptronClassifier(featuresCol="x", labelCol=label, layers=[len(features), *layers, 2], maxIter=rounds, seed=seed)]
     return Pipeline(stages=steps).fit(df)
 
 
@@ -264,10 +298,10 @@ def predict_up(model, df: DataFrame) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
     p = vector_to_array("probability")[1]
-    return model.transform(df).withColumn("p_up", F.when(F.isnan(p), 0.5).otherwise(p)).drop("raw", "x", "rawPrediction", "probability", "prediction")
+    return model.transform(df).withColumn("p_up", F.when(F.isnan(p), 0.5).otherwise(p)).drop(*(c for c in model.transform(df.limit(0)).columns if c.startswith("_x")), "x", "rawPrediction", "probability", "prediction")
 
 
-def fit_regimes(df: DataFrame, names: list[str], method: str = "gmm", k: int = 3, tries: int = 3, seed: int = 42) -> DataFrame:
+def fit_regimes(df: DataFrame, names: list[str], method: str = "gmm", k: int = 3, tries: int = 10, seed: int = 42) -> DataFrame:
     """Adds label (clusters in ascending order of their mean first feature), regime and confidence.
 
     gmm: the best of ``tries`` Gaussian mixtures by likelihood; kmeans: the best by cost,
@@ -335,6 +369,81 @@ def stacked_classifier(df: DataFrame, names: list[str], target: str):
     return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="x"), LogisticRegression(featuresCol="x", labelCol=target, maxIter=1000, regParam=1.0 / n, standardization=False)]).fit(df)
 
 
+def stacked_regressor(df: DataFrame, names: list[str], target: str, alpha: float = 1.0) -> DataFrame:
+    """Adds prediction: ridge stacking, the models' columns (``names``) weighted by exact ridge coefficients plus the intercept."""
+    w, b = ridge(df, names, target, alpha)
+    return df.withColumn("prediction", sum((F.col(n) * float(x) for n, x in zip(names, w, strict=True)), F.lit(b)))
+
+
+def feature_importance(model, names: list[str]) -> dict[str, float]:
+    """How much each input counts in a meta-model: weights (a dict) and linear coefficients by size, trees by their own importances."""
+    if isinstance(model, dict):
+        return {n: abs(model[n]) for n in names}
+    last = model.stages[-1]
+    v = last.featureImportances if hasattr(last, "featureImportances") else last.coefficients
+    return {n: abs(float(x)) for n, x in zip(names, v.toArray(), strict=True)}
+
+
+GLOBAL_0 = ("n", "max_persistence", "mean_persistence", "std_persistence", "persistence_entropy")
+GLOBAL_1 = (*GLOBAL_0, "total_persistence")
+
+
+def global_vector(h0: DataFrame, h1: DataFrame, more: list[str] = ()) -> DataFrame:  # noqa: B006
+    """(window_id, vector): five numbers of dimension 0, six of dimension 1, then the columns ``more`` of h1; 0 for what is missing."""
+    a = h0.select("window_id", *(F.col(k).alias(f"{k}_0") for k in GLOBAL_0))
+    b = h1.select("window_id", *(F.col(k).alias(f"{k}_1") for k in (*GLOBAL_1, *more)))
+    cols = [*(f"{k}_0" for k in GLOBAL_0), *(f"{k}_1" for k in (*GLOBAL_1, *more))]
+    return a.join(b, "window_id", "full").select("window_id", F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols)).alias("vector"))
+
+
+def local_vector(values: DataFrame, parts: list[str]) -> DataFrame:
+    """(window_id, vector): the columns ``parts`` of (window_id, node), one after another, each in the order of the nodes; 0 for nulls."""
+    one = F.struct("node", *(F.coalesce(F.col(k).cast("double"), F.lit(0.0)).alias(k) for k in parts))
+    rows = values.groupBy("window_id").agg(F.array_sort(F.collect_list(one)).alias("r"))  # a window's nodes
+    return rows.select("window_id", F.concat(*(F.col(f"r.{k}") for k in parts)).alias("vector"))
+
+
+def flatten_features(windows: DataFrame, features: dict[str, list[str]]) -> DataFrame:
+    """Adds vector: the groups of ``features`` in the order of their names, each group's columns in their own order."""
+    cols = [c for k in sorted(features) for c in features[k]]
+    return windows.withColumn("vector", F.array(*(F.col(c).cast("double") for c in cols)))
+
+
+def feature_names(local: list[str] | int, whole: list[str] | int) -> list[str]:
+    """local_<name> and global_<name> of the fused columns; numbers where only their count is known."""
+    listed = lambda x: range(x) if isinstance(x, int) else x
+    return [f"local_{k}" for k in listed(local)] + [f"global_{k}" for k in listed(whole)]
+
+
+class Fusion:
+    """Local and global columns on one scale: ``fit`` takes means and spreads, ``transform`` applies them to any rows."""
+
+    def __init__(self, local_weight: float = 0.5, global_weight: float = 0.5):
+        self.weights, self.about = (local_weight, global_weight), None
+
+    def fit(self, df: DataFrame, local: list[str], whole: list[str]) -> Fusion:
+        cols = [(k, w) for names, w in zip((local, whole), self.weights, strict=True) for k in names]
+        a = df.agg(*(F.avg(k).alias(f"m_{k}") for k, _ in cols), *(F.stddev_pop(k).alias(f"s_{k}") for k, _ in cols)).first()
+        self.about = [(k, w, a[f"m_{k}"] or 0.0, a[f"s_{k}"] if (a[f"s_{k}"] or 0.0) > 1e-12 else 1.0) for k, w in cols]
+        self.names = feature_names(local, whole)
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Adds a column of each fused feature, by ``feature_names``."""
+        if self.about is None:
+            raise ValueError("the fusion must be fitted before it transforms")
+        return df.withColumns({n: (F.col(k) - m) / s * w for n, (k, w, m, s) in zip(self.names, self.about, strict=True)})
+
+
+def momentum_signals(returns: DataFrame, mean_over: int = 10, spread_over: int = 20) -> DataFrame:
+    """Adds signal to (asset, seq, ret): tanh of the mean over the last ten returns per the spread of the last twenty; 0 where there are fewer."""
+    w = W.partitionBy("asset").orderBy("seq")
+    a, z = w.rowsBetween(1 - mean_over, 0), w.rowsBetween(1 - spread_over, 0)
+    mean = F.when(F.count("ret").over(a) == mean_over, F.avg("ret").over(a))
+    spread = F.when(F.count("ret").over(z) == spread_over, F.stddev_samp("ret").over(z))
+    return returns.withColumn("signal", F.coalesce(F.tanh(F.try_divide(mean, spread)), F.lit(0.0)))
+
+
 def ensemble(votes: DataFrame, by: list[str]) -> DataFrame:
     """weighted_avg, majority and max_confidence of (by, model_idx, signal, confidence, weight); ties go to the first model."""
     return votes.groupBy(*by).agg(F.coalesce(F.try_divide(F.sum(F.col("weight") * F.col("signal")), F.sum("weight")), F.lit(0.0)).alias("weighted_avg"), F.avg(F.signum("signal")).alias("majority"), F.max_by("signal", F.struct("confidence", -F.col("model_idx"))).alias("max_confidence"))

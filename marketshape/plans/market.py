@@ -3,19 +3,18 @@ windows: the correlation windows of h0_features and graph_metrics."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .. import streaming as S
+from .. import engine as E
 from ..engine import StressConfig
 from ..functions import rules as R
 from ..operators import matrix as M
 from ..operators import strategy as X
 from ..operators import topology as T
-from ..session import cut, finite, shared_folder, table
+from ..session import cut, finite, new_path, table
 from ..sources import panels as P
 
 QUERIES: dict = {}
@@ -151,12 +150,14 @@ def corr_matrix_full(spark, d):
     return M.correlation_matrix(brand_returns(spark, d))
 
 
-@query(BARS + ", u AS (UNPIVOT (SELECT seq, open AS Open, high AS High, low AS Low, close AS Close, volume::DOUBLE AS Volume FROM bars WHERE asset = (SELECT min(asset) FROM bars)) ON Open, High, Low, Close, Volume INTO NAME asset VALUE price), r AS (SELECT asset, seq, price / lag(price) OVER (PARTITION BY asset ORDER BY seq) - 1 AS ret FROM u) || SELECT a.asset AS i, b.asset AS j, corr(a.ret, b.ret) AS c FROM r a JOIN r b ON a.seq = b.seq AND a.asset <= b.asset WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY 1, 2", "i j", "c")
+@query(BARS + ", u AS (UNPIVOT (SELECT asset AS entity, seq, open AS Open, high AS High, low AS Low, close AS Close, volume::DOUBLE AS Volume FROM bars) ON Open, High, Low, Close, Volume INTO NAME field VALUE price), r AS (SELECT entity, field, seq, price / lag(price) OVER (PARTITION BY entity, field ORDER BY seq) - 1 AS ret FROM u) || SELECT a.entity AS asset, a.field AS i, b.field AS j, corr(a.ret, b.ret) AS c FROM r a JOIN r b ON a.entity = b.entity AND a.seq = b.seq AND a.field <= b.field WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY 1, 2, 3", "asset i j", "c")
 def corr_of_fields(spark, d):
-    """A single asset's five bar fields as assets."""
-    bars = P.event_bars(table(spark, d, "events"))
-    one = bars.join(F.broadcast(bars.agg(F.min("asset").alias("asset"))), "asset", "left_semi")  # one row
-    return M.correlation_matrix(P.with_returns(P.fields_as_assets(one)))
+    """Every asset's five bar fields as assets of a market of their own."""
+    f = P.fields_as_assets(P.event_bars(table(spark, d, "events")))
+    r = f.withColumn("ret", F.try_divide("price", F.lag("price").over(W.partitionBy("entity", "asset").orderBy("seq"))) - 1).where("ret is not null")
+    a, b = (r.select("entity", "seq", F.col("asset").alias(k), F.col("ret").alias(x)) for k, x in (("i", "x"), ("j", "y")))
+    sd = F.stddev_pop("x") * F.stddev_pop("y")
+    return a.join(b, ["entity", "seq"]).where("i <= j").groupBy(F.col("entity").alias("asset"), "i", "j").agg(F.try_divide(F.covar_pop("x", "y"), F.when(sd > 0, sd)).alias("c"))
 
 
 @query(B + "|| SELECT window_id, i, j, 1 - abs(c) AS d FROM bc", "window_id i j", "d")
@@ -225,6 +226,13 @@ def graph_spectrum(spark, d):
     return M.spectral_summary(M.laplacian(*_brand_graph(spark, d), normalized=True))
 
 
+@query(EDGES + ", l AS (SELECT window_id, node AS i, node AS j, CASE WHEN deg > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM deg UNION ALL SELECT e2.window_id, a, b, -w / sqrt(x.deg * y.deg) FROM e2 JOIN deg x ON x.window_id = e2.window_id AND x.node = a JOIN deg y ON y.window_id = e2.window_id AND y.node = b) || SELECT window_id, (SELECT count(*) FROM nodes n WHERE n.window_id = l.window_id) AS eigenvalues, sum(CASE WHEN i = j THEN v ELSE 0 END) AS total, sum(v * v) AS squares, 0.0 AS least FROM l GROUP BY 1", "window_id eigenvalues", "total squares least")
+def graph_spectrum_sums(spark, d):
+    """The eigenvalues' number, sum, sum of squares and least, which the matrix gives without them."""
+    s = M.spectrum(M.laplacian(*_brand_graph(spark, d), normalized=True))
+    return s.groupBy("window_id").agg(F.count(F.lit(1)).alias("eigenvalues"), F.sum("eigenvalue").alias("total"), F.sum(F.col("eigenvalue") * F.col("eigenvalue")).alias("squares"), F.min("eigenvalue").alias("least"))
+
+
 def _walk_sql() -> str:
     steps = "".join(f", w{s} AS MATERIALIZED (SELECT n.window_id, n.node, coalesce(sum(x.x * e2.w / o.o), 0) AS x FROM nodes n LEFT JOIN e2 ON e2.window_id = n.window_id AND e2.b = n.node LEFT JOIN o ON o.window_id = e2.window_id AND o.a = e2.a LEFT JOIN w{s - 1} x ON x.window_id = e2.window_id AND x.node = e2.a GROUP BY 1, 2)" for s in range(1, 11))
     return EDGES + ", o AS (SELECT window_id, a, sum(w) AS o FROM e2 GROUP BY 1, 2), w0 AS (SELECT window_id, node, 1.0 / count(*) OVER (PARTITION BY window_id) AS x FROM nodes)" + steps
@@ -272,6 +280,12 @@ def heat_kernel(spark, d):
     return M.heat_kernel(M.laplacian(*_brand_graph(spark, d)))
 
 
+@query(EDGES + "|| SELECT window_id, node, 1.0::DOUBLE AS mass FROM nodes", "window_id node", "mass")
+def heat_kernel_mass(spark, d):
+    """Heat is neither lost nor made: every row of a kernel sums to 1."""
+    return heat_kernel(spark, d).groupBy("window_id", F.col("i").alias("node")).agg(F.sum("value").alias("mass"))
+
+
 # ---------------------------------------------------------------- topology
 
 
@@ -280,12 +294,9 @@ def h0_diagram(spark, d):
     return T.finite_bars(brand_h0(spark, d), 0)
 
 
-@query(H0 + "|| SELECT death - birth AS length, death, window_id FROM h0 WHERE window_id = (SELECT max(window_id) FROM h0)", "window_id", "death length")
+@query(H0 + "|| SELECT death - birth AS length, death, window_id FROM h0", "window_id", "death length")
 def barcode_h0(spark, d):
-    """The last window's barcode."""
-    b = T.finite_bars(brand_h0(spark, d), 0)
-    last = b.agg(F.max("window_id").alias("window_id"))
-    return b.join(F.broadcast(last), "window_id", "left_semi").withColumn("length", F.col("death") - F.col("birth"))  # one row
+    return T.finite_bars(brand_h0(spark, d), 0).withColumn("length", F.col("death") - F.col("birth"))
 
 
 def _features(spark, d, dim=0):
@@ -339,9 +350,10 @@ def vectorize_statistics(spark, d):
 
 @query()
 def embedding_cloud_h1(spark, d):
-    """Loops among the first 24 vectors of every label, by cosine distance."""
-    e = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
-    e = e.withColumn("k", F.row_number().over(W.partitionBy("label").orderBy("vec_id"))).where("k <= 24")  # a cloud of 24 is the feature
+    """Loops among every label's vectors, by cosine distance, in clouds of about 24 by hash: all vectors, no pairs beyond a cloud."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", "embedding").where("label is not null and embedding is not null")
+    clouds = e.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / 24).alias("clouds"))  # a row per label
+    e = e.join(clouds, "label").withColumn("label", F.col("label").cast("bigint") * 1_000_000 + F.pmod(F.xxhash64("vec_id"), "clouds"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
     e = e.withColumn("len", F.sqrt(dot("embedding", "embedding")))
     a, b = (e.select("label", F.format_string("%09d", "vec_id").alias(k), F.col("embedding").alias(f"e{k}"), F.col("len").alias(f"l{k}")) for k in "ij")
@@ -443,6 +455,33 @@ def predictions(states: DataFrame) -> DataFrame:
     return states.select("window_id", F.to_json(record, {"pretty": "true"}).alias("prediction"))
 
 
+_TAGS = "concat_ws(',', 'static_threshold', CASE WHEN odd AND max1 > 0.2 THEN 'H1_max_persistence' END, CASE WHEN odd AND n0 > 3 THEN 'H0_fragmentation' END, CASE WHEN NOT odd THEN 'nn_proba,regime,regime_weight' END, CASE WHEN leak > 0.5 THEN 'graph_leakage_penalty' END)"
+
+
+@query(_GATE + f"|| SELECT window_id, {_TAGS} AS tags FROM gc", "window_id tags")
+def gate_reasons(spark, d):
+    """What a decision's details speak of."""
+    return gated(spark, d).withColumn("tags", F.concat_ws(",", F.transform("reason_details", lambda x: F.substring_index(x, "=", 1))))
+
+
+_UNIVERSE = ", hu AS (SELECT window_id, max(universe) AS universe FROM h0_features WHERE window_id IS NOT NULL GROUP BY 1), ad0 AS (SELECT eng.*, universe FROM eng JOIN hu USING (window_id) WHERE universe IS NOT NULL), ad1 AS (SELECT *, avg(score) OVER v AS m, stddev_pop(score) OVER v AS sd, count(*) OVER v AS k FROM ad0 WINDOW v AS (PARTITION BY universe ORDER BY window_id ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)), ad2 AS (SELECT *, k >= 5 AS adaptive, CASE WHEN k >= 5 THEN m + 2 * sd ELSE 0.5 END AS lim, round(0.5 + (p - 0.5) * CASE state WHEN 'Stable' THEN 1 WHEN 'Trending' THEN 0.8 WHEN 'Fragmented' THEN 0.3 ELSE 0.1 END, 9) AS drawn FROM ad1)"
+
+
+@query(RULE + _UNIVERSE + "|| SELECT window_id, adaptive, lim AS threshold, CASE WHEN round(score - lim, 9) > 0 THEN 'NEUTRAL' WHEN drawn > 0.55 THEN 'LONG' WHEN drawn < 0.45 THEN 'SHORT' ELSE 'NEUTRAL' END AS final_signal FROM ad2", "window_id adaptive final_signal", "threshold")
+def gated_adaptive(spark, d):
+    """Gated by the rolling baseline of the window's universe."""
+    u = table(spark, d, "h0_features").where("window_id is not null").groupBy("window_id").agg(F.max("universe").alias("universe")).where("universe is not null")
+    s = T.adaptive_threshold(engine_states(spark, d).join(u, "window_id").withColumn("seq", F.col("window_id")), ["universe"])
+    return s.withColumns(R.gate("p", "score", "state", leak="leak", threshold="threshold", baseline="baseline_mean", adaptive="adaptive"))
+
+
+@query(_GATE + ", pf AS (SELECT *, CASE WHEN state IN ('Fragmented', 'Stressed') THEN 'VX_FUT' WHEN state = 'Trending' THEN 'SECTOR_ETF' ELSE 'CASH' END AS instrument, greatest(0, p - (1 - confidence_score) / 2) AS low, least(1, p + (1 - confidence_score) / 2) AS high FROM gc) || SELECT window_id, final_signal, reason, state AS regime, instrument, confidence_score AS confidence, low, high, p, score, leak FROM pf", "window_id final_signal reason regime instrument", "confidence low high p score leak")
+def prediction_fields(spark, d):
+    """The fields read back from the JSON texts."""
+    j = lambda path, t="double": F.get_json_object("prediction", f"$.{path}").cast(t)
+    return prediction_json(spark, d).select("window_id", j("final_signal", "string").alias("final_signal"), j("reason", "string").alias("reason"), j("regime_classification", "string").alias("regime"), j("suggested_hedge.instrument", "string").alias("instrument"), j("confidence_score").alias("confidence"), j("confidence_interval[0]").alias("low"), j("confidence_interval[1]").alias("high"), j("nn_predict_proba").alias("p"), j("persistence_score").alias("score"), j("graph_leakage").alias("leak"))
+
+
 @query()
 def prediction_json(spark, d):
     return predictions(gated(spark, d).withColumn("at", F.col("window_id").cast("string")))
@@ -496,8 +535,10 @@ def nn_targets(spark, d):
 
 
 def _nn(spark, d):
+    """Trained on the bars of the first asset by name, as one model prices one asset; it scores all."""
     f = cut(X.nn_features(P.event_bars(table(spark, d, "events"))))
-    return X.predict_up(X.train_classifier(X.nn_targets(f), rounds=60), f)
+    first = f.agg(F.min("asset")).first()[0]
+    return X.predict_up(X.train_classifier(X.nn_targets(f.where(F.col("asset") == first))), f)
 
 
 @query()
@@ -522,12 +563,12 @@ def regime_gmm(spark, d):
 
 @query()
 def regime_kmeans(spark, d):
-    return X.fit_regimes(cut(X.standardise(window_states(spark, d), _FUSED)), _FUSED, "kmeans", tries=5).select("window_id", "label", "regime")
+    return X.fit_regimes(cut(X.standardise(window_states(spark, d), _FUSED)), _FUSED, "kmeans").select("window_id", "label", "regime")
 
 
 @query()
 def kmeans_proba(spark, d):
-    return X.fit_regimes(cut(X.standardise(window_states(spark, d), _FUSED)), _FUSED, "kmeans", tries=5).select("window_id", "label", "confidence")
+    return X.fit_regimes(cut(X.standardise(window_states(spark, d), _FUSED)), _FUSED, "kmeans").select("window_id", "label", "confidence")
 
 
 def _votes(spark, d):
@@ -569,6 +610,61 @@ def meta_ridge_weights(spark, d):
     return spark.createDataFrame(list(w.items()), "feature string, weight double")
 
 
+_RIDGE = WIN + ", c AS (SELECT count(*) * covar_pop(mean0, mean0) + 1 AS a, count(*) * covar_pop(mean0, clustering) AS b, count(*) * covar_pop(clustering, clustering) + 1 AS e, count(*) * covar_pop(mean0, density) AS y0, count(*) * covar_pop(clustering, density) AS y1, avg(mean0) AS x0, avg(clustering) AS x1, avg(density) AS y FROM ws), w AS (SELECT *, (e * y0 - b * y1) / (a * e - b * b) AS w0, (a * y1 - b * y0) / (a * e - b * b) AS w1 FROM c)"
+
+
+@query(_RIDGE + "|| SELECT window_id, w0 * (mean0 - x0) + w1 * (clustering - x1) + y AS prediction FROM ws, w", "window_id", "prediction")
+def meta_ridge_stacking(spark, d):
+    return X.stacked_regressor(window_states(spark, d), _META, "density")
+
+
+@query(_RIDGE + "|| SELECT 'mean0' AS feature, abs(w0) / (abs(w0) + abs(w1)) AS importance FROM w UNION ALL SELECT 'clustering', abs(w1) / (abs(w0) + abs(w1)) FROM w", "feature", "importance")
+def importance_weights(spark, d):
+    w = X.feature_importance(X.weighted_average_weights(window_states(spark, d), _META, "density"), _META)
+    return spark.createDataFrame(list(w.items()), "feature string, importance double")
+
+
+@query()
+def importance_learners(spark, d):
+    """Of the boosted trees and the logistic regression."""
+    w = cut(window_states(spark, d).withColumn("up", (F.col("density") > 0.5).cast("int")))
+    rows = [(k, n, x) for k, m in (("boosting", X.boosted(w, _META, "density")), ("stacking", X.stacked_classifier(w, _META, "up"))) for n, x in X.feature_importance(m, _META).items()]
+    return spark.createDataFrame(rows, "learner string, feature string, importance double")
+
+
+@query(WIN + ", a AS (SELECT " + ", ".join(f"avg({k}) AS m_{k}, stddev_pop({k}) AS s_{k}" for k in _FUSED) + " FROM ws WHERE window_id % 2 = 0) || SELECT window_id, " + ", ".join(f"({k} - m_{k}) / CASE WHEN s_{k} > 1e-12 THEN s_{k} ELSE 1 END * 0.5 AS {'global' if k in _FUSED[:3] else 'local'}_{k}" for k in _FUSED) + " FROM ws, a", "window_id", " ".join(f"{'global' if k in _FUSED[:3] else 'local'}_{k}" for k in _FUSED))
+def fusion_fit_transform(spark, d):
+    """Fitted on the even windows, applied to all."""
+    w = window_states(spark, d)
+    return X.Fusion().fit(w.where("window_id % 2 = 0"), _FUSED[3:], _FUSED[:3]).transform(w)
+
+
+@query(B + ", q AS (SELECT asset, seq, ret, avg(ret) OVER (PARTITION BY asset ORDER BY seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS expected FROM br WHERE ret IS NOT NULL), r AS (SELECT seq AS window_id, row_number() OVER (PARTITION BY seq ORDER BY asset) - 1 AS pos, count(*) OVER (PARTITION BY seq) AS n, expected, ret - expected AS residual FROM q) || SELECT window_id, pos::BIGINT AS k, residual AS x FROM r UNION ALL SELECT window_id, (n + pos)::BIGINT, expected FROM r", "window_id k", "x")
+def local_vectors(spark, d):
+    """Residuals, then expectations, of a period's assets in one vector."""
+    v = X.local_vector(_residuals(spark, d).select(F.col("seq").alias("window_id"), F.col("asset").alias("node"), "residual", "expected"), ["residual", "expected"])
+    return v.select("window_id", F.posexplode("vector").alias("k", "x")).withColumn("k", F.col("k").cast("bigint"))
+
+
+@query()
+def global_vectors(spark, d):
+    """Eleven numbers of the H0 and H1 diagrams."""
+    g = brand_h1(spark, d)
+    return X.global_vector(T.diagram_features(g, 0, g), T.diagram_features(g, 1, g))
+
+
+@query(WIN + "|| SELECT window_id, unnest([0, 1, 2])::BIGINT AS k, unnest([density, clustering, max0]) AS x FROM ws", "window_id k", "x")
+def flattened_features(spark, d):
+    """Two groups, graph and topology, as one vector by the groups' names."""
+    v = X.flatten_features(window_states(spark, d), {"topology": ["max0"], "graph": ["density", "clustering"]})
+    return v.select("window_id", F.posexplode("vector").alias("k", "x")).withColumn("k", F.col("k").cast("bigint"))
+
+
+@query(B + ", q AS (SELECT asset, seq, CASE WHEN count(ret) OVER a = 10 THEN avg(ret) OVER a END AS m, CASE WHEN count(ret) OVER z = 20 THEN stddev_samp(ret) OVER z END AS s FROM br WINDOW a AS (PARTITION BY asset ORDER BY seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), z AS (PARTITION BY asset ORDER BY seq ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) || SELECT asset, seq, coalesce(tanh(m / nullif(s, 0)), 0) AS signal FROM q", "asset seq", "signal")
+def momentum_signals(spark, d):
+    return X.momentum_signals(brand_returns(spark, d))
+
+
 @query()
 def meta_stacking(spark, d):
     w = cut(window_states(spark, d).withColumn("up", (F.col("density") > 0.5).cast("int")))
@@ -578,7 +674,7 @@ def meta_stacking(spark, d):
 @query()
 def meta_boosting(spark, d):
     w = cut(window_states(spark, d))
-    return X.boosted(w, _META, "density", trees=20).transform(w).select("window_id", "density", "prediction")
+    return X.boosted(w, _META, "density").transform(w).select("window_id", "density", "prediction")
 
 
 # ---------------------------------------------------------------- backtests
@@ -651,6 +747,30 @@ def wf_aggregate(spark, d):
     return X.summarise(m, ["strategy"], ["total_return", "max_drawdown", "win_rate"])
 
 
+_FITS = _bt_sql(B + ", wn AS (SELECT unnest(range(20, max(seq) + 1 - 12 + 1, 12)) AS pos FROM br), sg AS (SELECT printf('%04d', (pos - 20) // 12) AS strategy, br.asset, br.seq - pos AS seq, ret, coalesce(sign(round(m, 9)) / 25.0, 0) AS signal FROM wn JOIN br ON br.seq >= pos AND br.seq < pos + 12 LEFT JOIN (SELECT pos, asset, avg(ret) AS m FROM wn JOIN br ON br.seq >= pos - 20 AND br.seq < pos GROUP BY ALL) f USING (pos, asset))")
+
+
+@query(_FITS + "|| SELECT * FROM metrics", "strategy", METRICS)
+def rolling_fit_backtest(spark, d):
+    """Every 12 periods with the sign of the mean return of the 20 before, fitted anew."""
+    fit = lambda x: cut(x.groupBy("asset").agg(F.avg("ret").alias("m")))
+    use = lambda m, x: x.join(m, "asset", "left").withColumn("signal", F.coalesce(F.signum(F.round("m", 9)) / 25, F.lit(0.0)))
+    return E.rolling_fits(cut(brand_returns(spark, d)), fit, use, 20, 12)
+
+
+@query("|| SELECT n::BIGINT AS period, greatest(1, floor(n * 0.01))::BIGINT AS n FROM (SELECT unnest([1, 99, 100, 250, 1000]) AS n)", "period n")
+def wf_embargo(spark, d):
+    """Embargoed periods after tests of several lengths."""
+    return spark.createDataFrame([(n,) for n in (1, 99, 100, 250, 1000)], "period bigint").withColumn("n", X.embargo(F.col("period")).cast("bigint"))
+
+
+@query(B + ", x AS (SELECT min(t) AS a, max(t) AS z, max(seq) + 1 AS n FROM br) || SELECT m::BIGINT AS months, (m * 21)::BIGINT AS undated, floor(m * 30 * n / date_diff('day', a, z))::BIGINT AS dated FROM x, (SELECT unnest([1, 6, 12, 36]) AS m)", "months undated dated")
+def wf_months(spark, d):
+    """Periods of so many months, without dates and by the panel's density."""
+    r = brand_returns(spark, d).agg(F.date_diff(F.max("t"), F.min("t")).alias("days"), (F.max("seq") + 1).alias("n")).first()
+    return spark.createDataFrame([(m, X.months_to_periods(m, None), X.months_to_periods(m, r["days"], r["n"])) for m in (1, 6, 12, 36)], "months bigint, undated bigint, dated bigint")
+
+
 _SPLITS = B + ", sn AS (SELECT (max(seq) + 1)::BIGINT AS n FROM br), sp AS (SELECT (row_number() OVER (ORDER BY ts) - 1)::BIGINT AS split_id, 0::BIGINT AS train_start, ts AS train_end, ts AS test_start, ts + 12 AS test_end, greatest(0, ts - greatest(1, floor(12 * 0.02)))::BIGINT AS purge_start, (ts + 12 + greatest(1, floor(12 * 0.02)))::BIGINT AS purge_end FROM (SELECT unnest(range(24, n - 12 + 1, 6)) AS ts FROM sn))"
 
 
@@ -680,27 +800,34 @@ def cpcv_splits(spark, d):
 # ---------------------------------------------------------------- stress
 
 
-def _simulated(method: str):
+_DRAW = lambda *k: "('0x' || substr(md5(concat_ws('-', " + ", ".join(k) + ")), 1, 8))::BIGINT"
+_SIMS = StressConfig().simulations
+_BOOT = B + f", rr AS MATERIALIZED (SELECT seq, asset, ret FROM br WHERE ret IS NOT NULL), nn AS (SELECT min(seq) AS lo, (max(seq) - min(seq) + 1)::BIGINT AS n, least(20, greatest(5, (max(seq) - min(seq) + 1) // 20))::BIGINT AS b FROM rr), ix AS (SELECT sim_id, seq, lo + {_DRAW('42', 'sim_id', 'seq // b')} % greatest(1, n - b) + seq % b AS at FROM nn, range({_SIMS}) s(sim_id), range(0, (SELECT n FROM nn)) q(seq)), boot AS (SELECT sim_id, ix.seq, asset, ret FROM ix JOIN rr ON rr.seq = ix.at)"
+
+
+def _simulated(method: str, sql: str | None = None):
     def f(spark, d):
-        return X.simulate(brand_returns(spark, d), method, sims=StressConfig().simulations)
+        return X.simulate(brand_returns(spark, d), method, sims=_SIMS)
 
     f.__name__ = {"bootstrap": "mc_block_bootstrap"}.get(method, f"mc_{method}")
-    return query()(f)
+    return query(sql, *(("sim_id seq asset", "ret") if sql else ()))(f)
 
 
-for _m in ("gbm", "copula", "bootstrap", "shuffle", "parametric"):
+_simulated("bootstrap", _BOOT + "|| SELECT * FROM boot")
+_simulated("shuffle", B + f", rr AS MATERIALIZED (SELECT seq, asset, ret FROM br WHERE ret IS NOT NULL), ix AS (SELECT sim_id, seq, row_number() OVER (PARTITION BY sim_id ORDER BY md5(concat_ws('-', 42, sim_id, seq)), seq) - 1 AS pos FROM (SELECT DISTINCT seq FROM rr), range({_SIMS}) s(sim_id)) || SELECT sim_id, pos::BIGINT AS seq, asset, ret FROM ix JOIN rr USING (seq)")
+for _m in ("gbm", "copula", "parametric"):
     _simulated(_m)
 
 
 def _stress(spark, d):
-    """Assets as the simulations of three metrics, the whole panel as the original."""
-    r = brand_returns(spark, d).where("ret is not null")
+    """Three metrics of the bootstrapped panels against those of the panel."""
+    r = cut(brand_returns(spark, d).where("ret is not null"))
     cols = lambda: [F.avg("ret").alias("mean_return"), F.stddev_samp("ret").alias("volatility"), F.max("ret").alias("best")]
-    long = lambda x, v, *k: x.select(*k, F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).alias(v)) for n in ("mean_return", "volatility", "best")))).alias("m")).select(*k, "m.*")
-    return X.stress_aggregate(long(r.groupBy(F.col("asset").alias("sim_id")).agg(*cols()), "value", "sim_id"), long(r.agg(*cols()), "original"))
+    long = lambda x, v, *k: x.select(*k, F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.round(F.col(n), 12).alias(v)) for n in ("mean_return", "volatility", "best")))).alias("m")).select(*k, "m.*")
+    return X.stress_aggregate(long(X.simulate(r, "bootstrap", sims=_SIMS).groupBy("sim_id").agg(*cols()), "value", "sim_id"), long(r.agg(*cols()), "original"))
 
 
-_ST = B + ", u AS (UNPIVOT (SELECT asset, avg(ret) AS mean_return, stddev_samp(ret) AS volatility, max(ret) AS best FROM br WHERE ret IS NOT NULL GROUP BY 1) ON mean_return, volatility, best INTO NAME metric VALUE v), o AS (UNPIVOT (SELECT avg(ret) AS mean_return, stddev_samp(ret) AS volatility, max(ret) AS best FROM br WHERE ret IS NOT NULL) ON mean_return, volatility, best INTO NAME metric VALUE ov), st AS (SELECT u.metric, max(ov) AS original, avg(v) AS mean, stddev_samp(v) AS std, median(v) AS median, min(v) AS min, max(v) AS max, quantile_cont(v, 0.05) AS p05, quantile_cont(v, 0.95) AS p95, avg((abs(v) >= abs(ov))::INT) AS p_value FROM u JOIN o ON u.metric = o.metric GROUP BY 1)"
+_ST = _BOOT + ", u AS (UNPIVOT (SELECT sim_id, round(avg(ret), 12) AS mean_return, round(stddev_samp(ret), 12) AS volatility, round(max(ret), 12) AS best FROM boot GROUP BY 1) ON mean_return, volatility, best INTO NAME metric VALUE v), o AS (UNPIVOT (SELECT round(avg(ret), 12) AS mean_return, round(stddev_samp(ret), 12) AS volatility, round(max(ret), 12) AS best FROM rr) ON mean_return, volatility, best INTO NAME metric VALUE ov), st AS (SELECT u.metric, max(ov) AS original, avg(v) AS mean, stddev_samp(v) AS std, median(v) AS median, min(v) AS min, max(v) AS max, quantile_cont(v, 0.05) AS p05, quantile_cont(v, 0.95) AS p95, avg((abs(v) >= abs(ov))::INT) AS p_value FROM u JOIN o ON u.metric = o.metric GROUP BY 1)"
 
 
 @query(_ST + "|| SELECT * FROM st", "metric", "original mean std median min max p05 p95 p_value")
@@ -728,42 +855,54 @@ def stress_test(spark, d):
 # ---------------------------------------------------------------- pipelines and streams
 
 
-def _engine(spark, d) -> DataFrame:
-    """Every period of the brand panel scored at once: graph, topology, baseline, gate."""
-    c = brand_corr(spark, d)
-    e, n = cut(M.threshold_edges(c)), cut(M.nodes_of(c))
-    g = M.graph_metrics(e, n, M.components(e, n)).withColumn("leak", R.leakage_score("density", "n_components", "avg_clustering"))
-    dg = cut(T.diagrams(c.select("window_id", "i", "j", R.signed_distance("c").alias("d")), 1, 2.0))
-    feats = [T.diagram_features(dg, k, dg).select("window_id", F.col("n").alias(f"n{k}"), F.col("max_persistence").alias(f"max{k}")) for k in (0, 1)]
-    s = feats[0].join(feats[1], "window_id").join(g.select("window_id", "leak"), "window_id")
-    regime = R.engine_regime("n0", "max0", "n1", "max1")
-    s = s.withColumns({"state": regime["regime"], "score": R.instability_score({"max": "max0"}, {"max": "max1"}), "seq": F.col("window_id"), "universe": F.lit("brands")})
-    s = T.adaptive_threshold(s, ["universe"])
-    first = brand_returns(spark, d)
-    up = first.groupBy("seq").agg((F.avg((F.col("ret") > 0).cast("double"))).alias("p"), F.max("t").alias("at"))
-    s = s.join(up.withColumnRenamed("seq", "window_id"), "window_id").withColumn("at", F.col("at").cast("string"))
-    return s.withColumns(R.gate("p", "score", "state", leak="leak", threshold="threshold", baseline="baseline_mean", adaptive="adaptive", n0="n0", max1="max1"))
-
-
 @query()
 def engine_predictions(spark, d):
-    return predictions(_engine(spark, d))
+    """The gated engine over the daily bars of all assets: a window of 60 days, diagrams up to dimension 2, the classifier of the first asset."""
+    bars = cut(P.daily_bars(spark, d))
+    e = E.GatedEngine(E.EngineConfig(window=60)).fit(bars, rounds=100)
+    return predictions(e.predict(bars).withColumnRenamed("regime", "state"))
+
+
+def _mutual(spark, d):
+    m = E.MutualModel()
+    return m, cut(m.run(brand_returns(spark, d)))
 
 
 @query()
 def mmm_signals(spark, d):
-    """Residuals spread over the correlation graph by heat, as signals scaled by the window's regime."""
-    c = brand_corr(spark, d)
-    nodes = cut(M.nodes_of(c))
-    r = _residuals(spark, d).select(F.col("seq").alias("window_id"), F.col("asset").alias("node"), F.col("residual").alias("x"))
-    start = cut(nodes.join(r, ["window_id", "node"]))
-    heat = M.heat_diffusion(M.laplacian(c.select("window_id", "i", "j", F.abs("c").alias("w")), nodes), nodes, start).withColumnRenamed("x", "heat")
-    raw = start.join(heat, ["window_id", "node"]).withColumn("z", F.col("x") * F.col("heat"))
-    raw = raw.withColumn("signal", F.tanh(F.col("z") / (F.stddev_pop("z").over(W.partitionBy("window_id")) + 1e-8)))
-    dg = cut(T.diagrams(abs_distances(c), 1))
-    f = [T.diagram_features(dg, k, dg).select("window_id", F.col("n").alias(f"n{k}"), F.col("max_persistence").alias(f"max{k}")) for k in (0, 1)]
-    s = f[0].join(f[1], "window_id").withColumns(R.rule_regime("n0", "max1") | {"stability": R.stability_score("n0", "max0", "n1", "max1")})
-    return raw.join(s, "window_id").select("window_id", "node", "regime", "signal", R.position_size("signal", "stability", "regime", "confidence").alias("position"))
+    """Residuals spread over the correlation graph by heat, fused with topology into regimes (mixture) and positions."""
+    return _mutual(spark, d)[1]
+
+
+@query()
+def mmm_external_positions(spark, d):
+    """Momentum signals sized by the model's regimes and stability."""
+    m, details = _mutual(spark, d)
+    return m.risk_adjusted(details, X.momentum_signals(brand_returns(spark, d)).select(F.col("seq").alias("window_id"), "asset", "signal"))
+
+
+@query(B + ", q AS (SELECT asset, seq, CASE WHEN count(ret) OVER a = 10 THEN avg(ret) OVER a END AS m, CASE WHEN count(ret) OVER z = 20 THEN stddev_samp(ret) OVER z END AS s FROM br WINDOW a AS (PARTITION BY asset ORDER BY seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), z AS (PARTITION BY asset ORDER BY seq ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) || SELECT seq AS window_id, avg(coalesce(tanh(m / nullif(s, 0)), 0)) AS signal FROM q GROUP BY 1", "window_id", "signal")
+def market_signal(spark, d):
+    """The market's mean signal, of the momentum signals."""
+    return E.market_signal(X.momentum_signals(brand_returns(spark, d)).withColumnRenamed("seq", "window_id"))
+
+
+@query()
+def change_point_market(spark, d):
+    return P.change_point_market(spark)
+
+
+@query()
+def random_correlation_market(spark, d):
+    return P.random_correlation_market(spark)
+
+
+@query()
+def panel_diagrams(spark, d):
+    """Up to dimension 2, of the whole panel: assets by correlation, periods by distance."""
+    r = brand_returns(spark, d)
+    one = T.diagrams_of_returns(r, 2, signed=True, longest=2.0).withColumn("of", F.lit("assets"))
+    return one.unionByName(T.diagrams_of_returns(r, 1, use_correlation=False).withColumn("of", F.lit("periods")))
 
 
 @query()
@@ -785,7 +924,7 @@ def scenario_regimes(spark, d):
 @query(BARS + "|| SELECT * FROM bars", "asset volume", "open high low close")
 def stream_bars(spark, d):
     """Daily bars as a stream; in update mode a bar's last state counts."""
-    folder = f"{shared_folder(spark).rstrip('/')}/stream-{next(tempfile._get_candidate_names())}"
+    folder = new_path(spark, "stream")
     out = S.run_to_table(spark, S.stream_bars(S.read_events(spark, d)), "update", folder)
     last = out.groupBy("asset", "t").agg(F.max_by(F.struct("open", "high", "low", "close", "volume"), "batch_no").alias("b"))
     return last.select("asset", "b.*")
@@ -793,10 +932,13 @@ def stream_bars(spark, d):
 
 @query(WIN + ", hu AS (SELECT window_id, max(universe) AS universe FROM h0_features WHERE window_id IS NOT NULL GROUP BY 1), q AS (SELECT universe, window_id, round(least(greatest(max0, max1) / 2, 1), 9) AS score FROM ws JOIN hu USING (window_id) WHERE universe IS NOT NULL), w AS (SELECT *, avg(score) OVER v AS m, stddev_pop(score) OVER v AS s, count(*) OVER v AS k FROM q WINDOW v AS (PARTITION BY universe ORDER BY window_id ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)) || SELECT universe AS key, window_id AS seq, score, CASE WHEN k >= 5 THEN m + 2 * s ELSE 0.5 END AS threshold FROM w", "key seq", "score threshold")
 def stream_baseline(spark, d):
-    """The rolling baseline of every universe as keyed state of a stream of scores."""
-    folder = f"{shared_folder(spark).rstrip('/')}/stream-{next(tempfile._get_candidate_names())}"
+    """The rolling baseline of every universe as keyed state of a stream of scores, in three micro-batches."""
+    folder = new_path(spark, "stream")
     u = table(spark, d, "h0_features").where("window_id is not null").groupBy("window_id").agg(F.max("universe").alias("key")).where("key is not null")
     scores = window_states(spark, d).join(u, "window_id").select("key", F.col("window_id").alias("seq"), F.round(R.instability_score({"max": "max0"}, {"max": "max1"}), 9).alias("score"))
-    scores.write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema("key string, seq bigint, score double").option("maxFilesPerTrigger", 1_000_000).parquet(f"{folder}/in")
+    scores = cut(scores)
+    thirds = scores.agg(F.percentile_approx("seq", F.array(F.lit(1 / 3), F.lit(2 / 3)))).first()[0] or [0, 0]
+    for part in (scores.where(F.col("seq") <= thirds[0]), scores.where((F.col("seq") > thirds[0]) & (F.col("seq") <= thirds[1])), scores.where(F.col("seq") > thirds[1])):
+        part.coalesce(1).sortWithinPartitions("seq").write.mode("append").parquet(f"{folder}/in")  # files of rising age: a micro-batch each
+    stream = spark.readStream.schema("key string, seq bigint, score double").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     return S.run_to_table(spark, S.stream_baseline(stream), "append", folder)

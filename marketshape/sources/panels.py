@@ -7,11 +7,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..session import small, table
+from ..session import DAY_ONE, micros, number, small, table
 
 
 def scaffold(prices: DataFrame) -> DataFrame:
@@ -63,8 +65,8 @@ def event_bars(events: DataFrame) -> DataFrame:
 
 
 def fields_as_assets(bars: DataFrame) -> DataFrame:
-    """The single-asset form: the five fields of a bar as five assets (asset, seq, price)."""
-    return bars.select("seq", F.expr("stack(5, 'Open', open, 'High', high, 'Low', low, 'Close', close, 'Volume', cast(volume as double)) as (asset, price)"))
+    """The single-asset form: the five fields of each entity's bars as five assets (entity, asset, seq, price)."""
+    return bars.select(F.col("asset").alias("entity"), "seq", F.expr("stack(5, 'Open', open, 'High', high, 'Low', low, 'Close', close, 'Volume', cast(volume as double)) as (asset, price)"))
 
 
 # Correlation, volatility and mean return of the three thirds of the synthetic market.
@@ -92,6 +94,66 @@ def synthetic_market(spark: SparkSession, assets: int = 10, periods: int = 500,
     return x.withColumn("price", 100 * F.product(1 + F.col("ret")).over(W.partitionBy("asset").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)))
 
 
+# Correlation, volatility and mean return of the states a market of change points passes through.
+STATES = ((0.3, 0.02, 0.0), (0.0, 0.03, 0.0), (0.8, 0.05, -0.001))
+
+
+def _normal(seed: int, salt: int, *key: str) -> Column:
+    """A standard normal draw by the hash of the key."""
+    u = [(F.pmod(F.xxhash64(F.lit(seed), F.lit(salt + i), *(F.col(k) for k in key)), F.lit(2_000_003)) + 1) / 2_000_005.0 for i in (0, 1)]
+    return F.sqrt(-2 * F.ln(u[0])) * F.cos(2 * math.pi * u[1])
+
+
+def change_point_market(spark: SparkSession, assets: int = 5, periods: int = 500, changes: list[int] | None = None, seed: int = 42) -> DataFrame:
+    """(asset, seq, ret, open, high, low, close, volume) of a market whose state moves on with every period past a change point.
+
+    The state is counted on by the number of change points passed, in every period anew,
+    so between them it runs through moderate, absent and high correlation by turns.
+    """
+    points = [periods // 3, 2 * periods // 3] if changes is None else changes
+    x = spark.range(periods).withColumnRenamed("id", "seq").crossJoin(F.broadcast(spark.range(assets).withColumnRenamed("id", "n")))  # the result's own rows
+    steps = sum((F.greatest(F.col("seq") - p + 1, F.lit(0)) for p in points), F.lit(0))
+    pick = lambda i: F.element_at(F.array(*(F.lit(s[i]) for s in STATES)), (F.pmod(steps, F.lit(3)) + 1).cast("int"))
+    z = F.sqrt(pick(0)) * _normal(seed, 10, "seq") + F.sqrt(1 - pick(0)) * _normal(seed, 20, "seq", "n")
+    x = x.withColumn("ret", pick(2) + pick(1) * z).withColumn("close", 100 * F.exp(F.sum("ret").over(W.partitionBy("n").orderBy("seq").rowsBetween(W.unboundedPreceding, 0))))
+    off = [_normal(seed, 30 + 10 * i, "seq", "n") for i in range(3)]
+    volume = 1000 + F.pmod(F.xxhash64(F.lit(seed), "seq", "n"), F.lit(9000))
+    return x.select(F.concat(F.lit("Asset_"), F.col("n").cast("string")).alias("asset"), "seq", "ret", (F.col("close") + 0.5 * off[0]).alias("open"), (F.col("close") + 1.5 * F.abs(off[1])).alias("high"), (F.col("close") - 1.5 * F.abs(off[2])).alias("low"), "close", volume.alias("volume"))
+
+
+def random_correlation_market(spark: SparkSession, assets: int = 5, periods: int = 100, seed: int = 42) -> DataFrame:
+    """(asset, seq, ret) with a random correlation from 0.3 to 0.7 for every two assets, random means and spreads.
+
+    The matrix of assets is drawn and rooted here; the draws of a period are joined with its rows.
+    """
+    g = np.random.default_rng(seed)
+    c = np.eye(assets)
+    upper = np.triu_indices(assets, 1)
+    c[upper] = c.T[upper] = g.uniform(0.3, 0.7, len(upper[0]))
+    mean, spread = g.uniform(-0.01, 0.02, assets), g.uniform(0.01, 0.03, assets)
+    v, q = np.linalg.eigh(c)
+    root = (q * np.sqrt(np.maximum(v, 0.0))) @ q.T * spread[:, None]
+    weights = spark.createDataFrame([(f"Asset_{i + 1}", j, float(root[i, j]), float(mean[i])) for i in range(assets) for j in range(assets)], "asset string, n bigint, w double, m double")
+    z = spark.range(periods).withColumnRenamed("id", "seq").crossJoin(F.broadcast(spark.range(assets).withColumnRenamed("id", "n"))).withColumn("z", _normal(seed, 10, "seq", "n"))  # the draws
+    return z.join(F.broadcast(weights), "n").groupBy("asset", "seq").agg((F.sum(F.col("w") * F.col("z")) + F.max("m")).alias("ret"))  # assets x assets rows
+
+
+def jittered_scenarios(spark: SparkSession, assets: int = 10, jitter: float = 0.1, seed: int = 42) -> DataFrame:
+    """``scenario_correlations`` with up to +-``jitter`` on every correlation, within -1 and 1."""
+    u = F.pmod(F.xxhash64(F.lit(seed), "scenario", "i", "j"), F.lit(2_000_001)) / 1e6 - 1.0
+    return scenario_correlations(spark, assets).withColumn("c", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("c") + jitter * u)))
+
+
+def daily_bars(spark: SparkSession, d: str) -> DataFrame:
+    """Daily bars of the ohlcv readings, every asset on every day from its first on (the last close carried forward, volume 0): asset, t, seq, open, high, low, close, volume."""
+    o = table(spark, d, "ohlcv").select("asset", micros("ts").alias("us"), "bar_id", "open_price", "high_price", "low_price", number("close_price").alias("c"), "volume").where(f"us >= {DAY_ONE} and asset is not null and c > 0")
+    at = F.struct("us", "bar_id")
+    b = o.groupBy("asset", F.date_from_unix_date(F.floor(F.col("us") / DAY_ONE).cast("int")).alias("t")).agg(F.min_by(number("open_price"), at).alias("open"), F.max(number("high_price")).alias("high"), F.min(number("low_price")).alias("low"), F.max_by("c", at).alias("close"), F.sum("volume").alias("volume"))
+    s = scaffold(b.select("asset", "t", F.col("close").alias("price"))).where("price is not null").join(b, ["asset", "t"], "left")
+    p = F.col("price")
+    return s.select("asset", "t", "seq", *(F.coalesce(k, p).alias(k) for k in ("open", "high", "low", "close")), F.coalesce("volume", F.lit(0)).alias("volume"))
+
+
 def scenario_correlations(spark: SparkSession, assets: int = 10) -> DataFrame:
     """Three correlation matrices (scenario, i < j, c): unified, fragmented in three blocks, crisis ring."""
     rows = []

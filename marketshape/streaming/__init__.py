@@ -23,7 +23,12 @@ def stream_bars(events: DataFrame, length: str = "1 day", late: str = "2 days")
 
 
 def stream_baseline(scores: DataFrame, keep: int = 30, n_std: float = 2.0) -> DataFrame:
-    """The adaptive threshold of (key, seq, score) rows as they come: the state is the last ``keep`` scores of a key."""
+    """The adaptive threshold of (key, seq, score) rows as they come: the state is the last ``keep`` scores of a key.
+
+    The rows of a micro-batch are taken in the order of seq; a score that comes in a
+    later batch than its successors is the latest all the same. Of a batch, a key's rows
+    are held in memory, so batches must be bounded (maxFilesPerTrigger).
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def f(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

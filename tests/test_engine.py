@@ -19,7 +19,7 @@ def bars(market):
 
 
 def test_engine_needs_a_fit_and_scores_every_window(market):
-    e = E.TopologyEngine(E.EngineConfig(window=60, hidden_layers=(4,)))
+    e = E.GatedEngine(E.EngineConfig(window=60, hidden_layers=(4,)))
     with pytest.raises(ValueError):
         e.predict(bars(market))
     out = e.fit(bars(market), rounds=5).predict(bars(market)).collect()
