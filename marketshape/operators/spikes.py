@@ -17,7 +17,7 @@ STARTS = {"close_score": 0.95, "high_score": 0.95, "low_score": 0.95, "volume_sc
 
 def _median(a: Column) -> Column:
     """The middle of a short array; the lower of the two middles if their number is even; null if empty."""
-    return F.when(F.size(a) > 0, F.element_at(F.array_sort(a), F.greatest(F.lit(1), F.floor((F.size(a) + 1) / 2).cast("int"))))
+    return F.when(F.size(a) > 0, F.element_at(F.sort_array(a), F.floor((F.size(a) + 1) / 2).cast("int")))
 
 
 def bar_scores(bars: DataFrame, steps: DataFrame, near: int = 5, block_steps: int = 2048, halo_steps: int = 64) -> DataFrame:
@@ -27,16 +27,16 @@ def bar_scores(bars: DataFrame, steps: DataFrame, near: int = 5, block_steps: in
     of its neighbours on both sides, so no task holds a whole source, however hot;
     readings farther apart than the halo aren't each other's neighbours.
 
-    * close_score: distance in logs to the median of up to ``near`` readings before and
-      after, the smaller of the two, 0 where they lie on different sides of the bar (a
-      move that lasts is near its successors); readings are looked for among the
-      ``near`` + 2 rows on each side, no farther than 3 ``near`` steps;
+    * close_score: distance in logs to the median of the ``near`` readings before and
+      after (within 3 ``near`` steps), the smaller of the two, 0 where they lie on
+      different sides of the bar (a move that lasts is near its successors);
     * high_score, low_score: how far the wick leaves the body, in logs;
     * volume_score: log of the volume over the larger of the source's median at that
       hour and the median around the bar (a day of high volume has high neighbours);
     * impossible: values that no bar can have;
-    * price_run, volume_run: readings in a row with this one price in all four fields
-      (or this close before them), with this one positive volume, 0 for the first.
+    * flat, same: the price in all four fields, or the positive volume, is the one before;
+      block, price_part and volume_part number the runs of such bars, which ``stuck_runs``
+      counts. Those of the neighbouring blocks come along with own false.
 
     Nulls and NaN make the scores that need them null and never make a bar impossible.
     Readings of the same moment are no neighbours of each other.
@@ -58,29 +58,20 @@ def bar_scores(bars: DataFrame, steps: DataFrame, near: int = 5, block_steps: in
 
     w = W.partitionBy("asset", "block").orderBy("pos")
     far = 3 * near * 1_000_000
-    c, v = F.when(F.col("c") > 0, F.ln("c")), F.when(F.col("v") > 0, F.ln("v"))
-    reading = F.struct("pos", c.alias("c"), v.alias("v"))
-    lists = {"before": F.collect_list(reading).over(w.rowsBetween(-near - 2, -1)), "after": F.collect_list(reading).over(w.rowsBetween(1, near + 2))}
-
-    def near_median(rows: str, x: str) -> Column:
-        """Of the readings on that side, not of the same moment, the closest first."""
-        ok = F.filter(rows, lambda r: r[x].isNotNull() & (F.abs(r["pos"] - F.col("pos")) <= far) & (r["pos"] != F.col("pos")))
-        return _median(F.slice(F.transform(F.reverse(ok) if rows == "before" else ok, lambda r: r[x]), 1, near))
-
-    around = {f"{x}{rows[0]}": near_median(rows, x) for x in "cv" for rows in lists}
+    before, after = w.rangeBetween(-far, -1), w.rangeBetween(1, far)
+    lists = {"cb": F.reverse(F.collect_list("lc").over(before)), "ca": F.collect_list("lc").over(after), "vb": F.reverse(F.collect_list("lv").over(before)), "va": F.collect_list("lv").over(after)}
     rep = F.coalesce(F.lag("pos").over(w) != F.col("pos"), F.lit(True))
     earlier = w.rangeBetween(W.unboundedPreceding, -1)
     d = (
-        cut_up.withColumns(lists | {"rep": rep})
+        cut_up.withColumns({f"l{x}": F.when(F.col(x) > 0, F.ln(x)) for x in "cv"})
+        .withColumns({k: _median(F.slice(x, 1, near)) for k, x in lists.items()} | {"rep": rep})
         .withColumns({"pc": F.last(F.when(F.col("rep"), F.struct("c")), True).over(earlier)["c"], "pv": F.last(F.when(F.col("rep"), F.struct("v")), True).over(earlier)["v"]})
         .withColumns({"flat": F.coalesce((F.col("c") == F.col("pc")) & (F.col("o") == F.col("c")) & (F.col("h") == F.col("c")) & (F.col("l") == F.col("c")), F.lit(False)), "same": F.coalesce((F.col("v") > 0) & (F.col("v") == F.col("pv")), F.lit(False))})
         .withColumns({k: F.sum(F.when(F.col("rep") & ~F.col(x), 1).otherwise(0)).over(w.rangeBetween(W.unboundedPreceding, 0)) for k, x in (("price_part", "flat"), ("volume_part", "same"))})
-        .withColumns({k: F.sum(F.when(F.col("rep") & F.col(x), 1).otherwise(0)).over(W.partitionBy("asset", "block", part)) for k, x, part in (("price_run", "flat", "price_part"), ("volume_run", "same", "volume_part"))})
-        .where("block = own")
-        .withColumns(around)
+        .where("block = own or flat or same")
     )
-    x = c
-    up, down = x - F.col("cb"), x - F.col("ca")
+    v = F.col("lv")
+    up, down = F.col("lc") - F.col("cb"), F.col("lc") - F.col("ca")
     close = F.when(up.isNull() | down.isNull(), F.least(F.abs(up), F.abs(down))).when(up * down <= 0, 0.0).otherwise(F.least(F.abs(up), F.abs(down)))
     body = [F.when(F.col(k) > 0, F.col(k)) for k in ("o", "c")]
     quiet = F.greatest("vb", "va", "usual")
@@ -91,14 +82,26 @@ def bar_scores(bars: DataFrame, steps: DataFrame, near: int = 5, block_steps: in
         F.greatest(F.ln(F.least(*body) / F.when(F.col("l") > 0, F.col("l"))), F.lit(0.0)).cast("float").alias("low_score"),
         F.when(quiet.isNotNull(), F.greatest(v - quiet, F.lit(0.0))).cast("float").alias("volume_score"),
         F.coalesce(negative, F.lit(False)).alias("impossible"),
-        F.when(F.col("flat"), F.col("price_run")).otherwise(0).cast("int").alias("price_run"),
-        F.when(F.col("same"), F.col("volume_run")).otherwise(0).cast("int").alias("volume_run"),
+        (F.col("block") == F.col("own")).alias("own"), "block", "rep", "flat", "same", F.col("price_part").cast("int").alias("price_part"), F.col("volume_part").cast("int").alias("volume_part"),
     )
 
 
-def seasonal_residuals(scores: DataFrame) -> DataFrame:
-    """Scores less their source's median at that hour of the day (the volume's score is against that already)."""
-    usual = cut(scores.groupBy("asset", "hour").agg(*(F.percentile_approx(k, 0.5, 200).alias(f"_{k}") for k in SCORES[:3])))
+def stuck_runs(scores: DataFrame) -> DataFrame:
+    """The scores of the bars, each once, with price_run and volume_run, 0 outside runs; only the rows in runs are counted and joined."""
+    d = scores.where("own")
+    for mark, part, run in (("flat", "price_part", "price_run"), ("same", "volume_part", "volume_run")):
+        runs = cut(scores.where(F.col(mark) & F.col("rep")).groupBy("asset", "block", F.col(part).alias("_part")).agg(F.count(F.lit(1)).cast("int").alias(run)))
+        d = d.withColumn("_part", F.when(F.col(mark), F.col(part))).join(runs, ["asset", "block", "_part"], "left").withColumn(run, F.coalesce(run, F.lit(0))).drop("_part")
+    return d.drop("own", "block", "rep", "flat", "same", "price_part", "volume_part")
+
+
+def hourly_scores(scores: DataFrame) -> DataFrame:
+    """Every source's median scores by hour of the day; the volume's score is against that already."""
+    return cut(scores.where("own").groupBy("asset", "hour").agg(*(F.percentile_approx(k, 0.5, 200).alias(f"_{k}") for k in SCORES[:3])))
+
+
+def seasonal_residuals(scores: DataFrame, usual: DataFrame) -> DataFrame:
+    """Scores less their source's median at that hour."""
     d = scores.join(usual, ["asset", "hour"], "left")
     return d.withColumns({k: F.col(k) - F.coalesce(f"_{k}", F.lit(0.0)) for k in SCORES[:3]}).drop(*(f"_{k}" for k in SCORES[:3]))
 
@@ -145,7 +148,8 @@ def tail_fits(residuals: DataFrame, risk: float = 1e-6, starts: dict[str, float]
 
 def fitted_tails(bars: DataFrame, steps: DataFrame, risk: float = 1e-6) -> DataFrame:
     """``tail_fits`` of the bars' seasonal residuals."""
-    return tail_fits(seasonal_residuals(cut(bar_scores(bars, steps))), risk)
+    s = cut(bar_scores(bars, steps))
+    return tail_fits(seasonal_residuals(s.where("own"), hourly_scores(s)), risk)
 
 
 def flag_spikes(bars: DataFrame, steps: DataFrame, risk: float = 1e-6, least_score: float = 0.01, least_run: int = 4) -> DataFrame:
@@ -161,10 +165,10 @@ def flag_spikes(bars: DataFrame, steps: DataFrame, risk: float = 1e-6, least_sco
     of a source with several bar lengths in ``steps`` the shortest counts.
     """
     s = cut(bar_scores(bars, steps))
-    r = seasonal_residuals(s)
-    cuts = tail_fits(r, risk).groupBy("asset").agg(*(F.max(F.when(F.col("score") == k, F.col("cutoff"))).alias(f"{k}_cut") for k in SCORES))
-    by = s.groupBy("asset").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.when(F.col(k) > 0, 1 / F.col(k))).alias(f"{k}s") for k in ("price_run", "volume_run")))
-    cuts = cut(by.join(cuts, "asset", "left"))
+    usual = hourly_scores(s)
+    cuts = tail_fits(seasonal_residuals(s.where("own"), usual), risk).groupBy("asset").agg(*(F.max(F.when(F.col("score") == k, F.col("cutoff"))).alias(f"{k}_cut") for k in SCORES))
+    runs = stuck_runs(s.where("flat or same")).groupBy("asset").agg(*(F.sum(F.when(F.col(k) > 0, 1 / F.col(k))).alias(f"{k}s") for k in ("price_run", "volume_run")))
+    cuts = cut(s.where("own").groupBy("asset").agg(F.count(F.lit(1)).alias("n")).join(cuts, "asset", "left").join(runs, "asset", "left"))
 
     def stuck(k: str) -> Column:
         p = F.greatest(F.coalesce(F.col(f"{k}s"), F.lit(0.0)), F.lit(1.0)) / F.greatest(F.col("n"), F.lit(2))
@@ -172,4 +176,4 @@ def flag_spikes(bars: DataFrame, steps: DataFrame, risk: float = 1e-6, least_sco
 
     reasons = {"impossible_value": F.col("impossible")} | {f"{k.removesuffix('_score')}_spike": F.col(k) > F.greatest(F.col(f"{k}_cut"), F.lit(least_score)) for k in SCORES} | {"stuck_price": stuck("price_run"), "stuck_volume": stuck("volume_run")}
     found = F.array_compact(F.array(*(F.when(x, k) for k, x in reasons.items())))
-    return r.join(cuts, "asset").select("bar_id", "asset", found.alias("reasons"), (F.size(found) > 0).alias("implausible"))
+    return seasonal_residuals(stuck_runs(s), usual).join(cuts, "asset").select("bar_id", "asset", found.alias("reasons"), (F.size(found) > 0).alias("implausible"))
