@@ -224,10 +224,13 @@ def simulate(panel: DataFrame, method: str, sims: int = 10, seed: int = 42, bloc
     return drawn.withColumnRenamed("x", "ret")
 
 
-@F.pandas_udf("double")
-def normal_score(u: pd.Series) -> pd.Series:
-    """The quantile of the standard normal distribution; null for null."""
-    return u.map(NormalDist().inv_cdf, na_action="ignore").astype(float)
+def normal_score(u: Column) -> Column:
+    """The quantile of the standard normal distribution, 0 < u < 1; null for null."""
+
+    def inverse(x: pd.Series) -> pd.Series:
+        return x.map(NormalDist().inv_cdf, na_action="ignore").astype(float)
+
+    return F.pandas_udf(inverse, "double")(u)
 
 
 def correlation_preservation(a: DataFrame, b: DataFrame, tolerance: float = 0.15) -> DataFrame:

@@ -32,7 +32,7 @@ def test_fill_by_dependency_neighbours_and_group(spark):
     assert out[3]["regime_from"] == "neighbours"
     assert out[0]["ret_from"] == "undefined" and out[6]["ret_from"] == "undefined" and out[0]["ret"] is None
     assert out[7]["close_prices"] == pytest.approx(6.5) and out[7]["close_prices_from"] == "derived"
-    assert out[9]["sector"] == "tin" and out[9]["sector_from"] == out[9]["close_prices_from"] == "group:seq"  # no asset, but a day
+    assert out[9]["sector"] == "tin" and out[9]["sector_from"] == "fd:seq" and out[9]["close_prices_from"] == "unfilled"  # no asset, and a day without a price
 
 
 def test_a_wrong_record_costs_no_dictionary(spark):
