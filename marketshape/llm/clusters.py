@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..operators.matrix import components
-from ..session import cut, finite
+from ..session import BROADCAST_ROWS, bounded, cut, finite
 
 
 def sound_windows(h0: DataFrame, graph: DataFrame) -> DataFrame:
@@ -37,9 +37,17 @@ def _spread(d: DataFrame, dims: int, reach: int) -> DataFrame:
 
 
 def _map_of(pivots: DataFrame, dims: int, reach: int = 1) -> DataFrame:
-    """(cell, pivots): for every cell the pivots in it and around it; they lie apart, so they are few however many records there are."""
+    """(cell, pivots): for every cell the pivots in it and around it; they lie apart, so they are few however many records there are.
+
+    A table, to be joined: a pivot stands in it once for each of (2 reach + 1)^dims cells,
+    which a file shrinks away but the memory of a broadcast doesn't. So it is broadcast
+    only if these are at most BROADCAST_ROWS, whatever its file's size.
+    """
     one = F.struct("pivot", F.array(*(F.col(f"z{i}") for i in range(dims))).alias("z"))
-    return _spread(pivots, dims, reach).groupBy("cell").agg(F.collect_list(one).alias("pivots"))
+    most = BROADCAST_ROWS // (2 * reach + 1) ** dims
+    few = pivots.limit(most + 1).count() <= most
+    m = cut(_spread(pivots, dims, reach).groupBy("cell").agg(F.collect_list(one).alias("pivots")))
+    return F.broadcast(m) if few else m.hint("merge")
 
 
 def _distances(dims: int) -> Column:
@@ -67,10 +75,10 @@ def pivot_rounds(points: DataFrame, dims: int, radius: float) -> DataFrame:
         candidates = cut(left.groupBy("cell").agg(lowest).select("cell", "m.*"))
         lower = _spread(candidates.drop("cell"), dims, 1).select("cell", "h", "row", *zs)
         other = candidates.select("cell", F.col("h").alias("h2"), F.col("row").alias("row2"), *(F.col(z).alias(f"{z}_2") for z in zs))
-        beaten = lower.join(other, "cell").where((F.struct("h2", "row2") < F.struct("h", "row")) & (_squares([(F.col(z), F.col(f"{z}_2")) for z in zs]) <= radius * radius)).select("row").distinct()
+        beaten = lower.join(bounded(other), "cell").where((F.struct("h2", "row2") < F.struct("h", "row")) & (_squares([(F.col(z), F.col(f"{z}_2")) for z in zs]) <= radius * radius)).select("row").distinct()
         pivots = cut(candidates.join(beaten, "row", "left_anti").select(F.col("row").alias("pivot"), *zs, *ks))
         found = pivots if found is None else found.unionByName(pivots)
-        near = left.join(cut(_map_of(pivots, dims)), "cell", "left")
+        near = left.join(_map_of(pivots, dims), "cell", "left")
         left = cut(near.where(F.coalesce(F.array_min(_distances(dims))["d"] > radius, F.lit(True))).drop("pivots"))
     return cut(found) if found is not None else points.select(F.col("row").alias("pivot"), *zs, *ks)
 
@@ -118,15 +126,15 @@ def pivot_clusters(records: DataFrame, key: str, fields: list[str], radius: floa
     """
     z, _ = scaled_points(records, key, fields, radius)
     dims = len(fields)
-    own = cut(z.join(cut(_map_of(pivot_rounds(z, dims, radius), dims)), "cell").withColumn("_p", F.array_min(_distances(dims))).select(key, "row", *(f"z{i}" for i in range(dims)), F.col("_p.pivot").alias("pivot"), F.col("_p.d").alias("distance")))
+    own = cut(z.join(_map_of(pivot_rounds(z, dims, radius), dims), "cell").withColumn("_p", F.array_min(_distances(dims))).select(key, "row", *(f"z{i}" for i in range(dims)), F.col("_p.pivot").alias("pivot"), F.col("_p.d").alias("distance")))
     return own.join(_medoids(own, "pivot", key, dims), "pivot").select(key, F.col("medoid").alias("pivot_cluster"), "distance")
 
 
 def _medoids(own: DataFrame, by: str, key: str, dims: int) -> DataFrame:
     """(by, medoid): the key of the member closest to the mean of all members, the lowest if several are."""
-    mean = cut(own.groupBy(by).agg(*(F.avg(f"z{i}").alias(f"c{i}") for i in range(dims))))
+    mean = bounded(cut(own.groupBy(by).agg(*(F.avg(f"z{i}").alias(f"c{i}") for i in range(dims)))))
     off = _squares([(F.col(f"z{i}"), F.col(f"c{i}")) for i in range(dims)])
-    return cut(own.join(mean, by).groupBy(by).agg(F.min_by(key, F.struct(off, key)).alias("medoid")))
+    return bounded(cut(own.join(mean, by).groupBy(by).agg(F.min_by(key, F.struct(off, key)).alias("medoid"))))
 
 
 def cluster_windows(records: DataFrame, key: str, fields: list[str], radius: float = 0.15, least: int = 5, bridge: float = 0.05) -> DataFrame:
@@ -152,20 +160,20 @@ def cluster_windows(records: DataFrame, key: str, fields: list[str], radius: flo
     dims = len(fields)
     zs = [f"z{i}" for i in range(dims)]
     pivots = pivot_rounds(z, dims, radius)
-    near = cut(z.join(cut(_map_of(pivots, dims)), "cell").select("row", F.array_sort(F.filter(_distances(dims), lambda p: p["d"] <= radius)).alias("near")))
+    near = cut(z.join(_map_of(pivots, dims), "cell").select("row", F.array_sort(F.filter(_distances(dims), lambda p: p["d"] <= radius)).alias("near")))
     own = F.col("near")[0]["pivot"]
     sizes = cut(near.groupBy(own.alias("pivot")).agg(F.count(F.lit(1)).alias("size")))
     crowded = cut(sizes.where(F.col("size") >= _crowded(sizes, radius, box, least)))
     shared = near.where(F.size("near") > 1).select(own.alias("a"), F.explode(F.transform(F.slice("near", F.lit(2), F.size("near")), lambda p: p["pivot"])).alias("b"))
     shared = shared.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     for x in "ab":
-        shared = shared.join(crowded.select(F.col("pivot").alias(x), F.col("size").alias(f"n{x}")), x)
+        shared = shared.join(bounded(crowded).select(F.col("pivot").alias(x), F.col("size").alias(f"n{x}")), x)
     links = shared.where(F.col("n") >= F.greatest(F.lit(2.0), bridge * F.least("na", "nb")))
     name = lambda c: F.format_string("%020d", c)
     nodes = crowded.select(F.lit(0).cast("bigint").alias("window_id"), name("pivot").alias("node"))
     parts = components(links.select(F.lit(0).cast("bigint").alias("window_id"), name("a").alias("i"), name("b").alias("j")), nodes)
     label = cut(parts.select(F.col("node").cast("bigint").alias("pivot"), "component"))
-    of = cut(_map_of(pivots.join(label, "pivot").drop("pivot").withColumnRenamed("component", "pivot"), dims, 2))
+    of = _map_of(cut(pivots.join(bounded(label), "pivot").drop("pivot").withColumnRenamed("component", "pivot")), dims, 2)
     out = cut(z.join(of, "cell", "left").withColumn("_p", F.array_min(_distances(dims))).select(key, *fields, *zs, F.when(F.col("_p.d") <= 1.5 * radius, F.col("_p.pivot")).alias("component")))
     medoid = _medoids(out.where("component is not null"), "component", key, dims)
     return out.join(medoid, "component", "left").select(key, F.col("medoid").alias("cluster_id"), *fields)

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from marketshape.llm.clusters import cluster_windows, describe_clusters, pivot_clusters, pivot_rounds, scaled_points, sound_windows
+from marketshape.llm.clusters import _map_of, cluster_windows, describe_clusters, pivot_clusters, pivot_rounds, scaled_points, sound_windows
 from marketshape.llm.mixing import mix_sources, water_fill
 from marketshape.llm.packing import best_fit, least_cost, pack_items
 from marketshape.llm.toxicity import Words, plain, score_documents, source_rates
@@ -47,6 +47,16 @@ def test_clusters_of_blobs(spark):
     assert cluster_windows(empty, "id", ["a", "b"]).count() == 0
 
 
+@pytest.mark.parametrize(("pivots", "broadcast"), [(50, True), (3_000, False)])
+def test_pivots_by_cell_are_broadcast_by_count_not_by_file_size(spark, pivots, broadcast):
+    zs, ks = [f"z{i}" for i in range(4)], [f"k{i}" for i in range(4)]
+    p = cut(spark.range(pivots).select(F.col("id").alias("pivot"), *((F.col("id") % (i + 5)).cast("double").alias(z) for i, z in enumerate(zs)), *((F.col("id") % (i + 5)).cast("int").alias(k) for i, k in enumerate(ks))))
+    points = cut(p.select(F.concat_ws(",", *ks).alias("cell"), *zs))
+    near = points.join(_map_of(p, 4), "cell", "left")  # 3,000 pivots are 243,000 in their cells
+    assert ("BroadcastHashJoin" in near._jdf.queryExecution().executedPlan().toString()) == broadcast
+    assert near.where("pivots is not null").count() == pivots
+
+
 def test_sound_windows(spark):
     h = spark.createDataFrame([(1, 0.5, 0.2), (1, 0.5, 0.2), (2, float("nan"), 0.1), (3, 0.5, 0.6), (4, 0.5, 0.2), (None, 0.5, 0.2)], "window_id bigint, max_persistence double, mean_persistence double")
     g = spark.createDataFrame([(1, 0.3, 0.5), (2, 0.3, 0.5), (3, 0.3, 0.5), (4, 0.3, 50.0)], "window_id bigint, spectral_gap double, density double")
