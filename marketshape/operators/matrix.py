@@ -8,13 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..session import cut
-
+from ..session import cut, spread
 
 
 def pairs_of(panel: DataFrame, value: str = "ret", same: bool = False) -> DataFrame:
     """(seq, i, j, x, y) of every two assets i < j (i <= j if ``same``) of a period: one equi-join on it."""
-    p = panel.where(F.col(value).isNotNull()).select("seq", "asset", F.col(value).alias("v"))
+    p = spread(panel.where(F.col(value).isNotNull()).select("seq", "asset", F.col(value).alias("v")), "seq")
     a, b = (p.select("seq", F.col("asset").alias(k), F.col("v").alias(v)) for k, v in (("i", "x"), ("j", "y")))
     return a.join(b, "seq").where("i <= j" if same else "i < j")
 
@@ -23,7 +22,7 @@ def rolling_correlation(panel: DataFrame, window: int = 20) -> DataFrame:
     """(window_id, i, j, c): correlations over the last ``window`` periods, for every period with so many; constants give null."""
     w = W.partitionBy("i", "j").orderBy("seq").rowsBetween(1 - window, 0)
     c = F.try_divide(F.covar_pop("x", "y").over(w), F.when(F.stddev_pop("x").over(w) * F.stddev_pop("y").over(w) > 0, F.stddev_pop("x").over(w) * F.stddev_pop("y").over(w)))
-    return pairs_of(panel).select(F.col("seq").alias("window_id"), "i", "j", c.alias("c"), F.count("x").over(w).alias("n")).where(F.col("n") == window).drop("n")
+    return spread(pairs_of(panel), "i", "j").select(F.col("seq").alias("window_id"), "i", "j", c.alias("c"), F.count("x").over(w).alias("n")).where(F.col("n") == window).drop("n")
 
 
 def correlation_matrix(panel: DataFrame, value: str = "ret") -> DataFrame:

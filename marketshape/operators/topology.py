@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import cache
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -10,23 +13,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import spread
+
 INF = float("inf")
 
+#: The rank of a distance that is no edge, and the numbers in a block of simplices times points.
+NO_EDGE, BLOCK = 1 << 40, 1 << 20
+
+
+def _simplices(r: np.ndarray, dim: int, last: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks (corners, reach) of all simplices of ``dim`` whose edges have a rank of at most ``last``; reach: the longest edge's rank."""
+    n = len(r)
+    if dim == 0:
+        yield np.arange(n)[:, None], np.zeros(n, np.int64)
+        return
+    for corners, reach in _simplices(r, dim - 1, last):
+        for c, far in _blocks(n, corners, reach):  # grow by a corner beyond the last
+            new = _grown(r, c, far)
+            at, v = np.nonzero((np.arange(n)[None, :] > c[:, -1:]) & (new <= last))
+            yield np.column_stack([c[at], v]), new[at, v]
 
-def _simplices(m: np.ndarray, dim: int, longest: float) -> tuple[np.ndarray, np.ndarray]:
-    """(corners, length) of all simplices of ``dim`` with no edge beyond ``longest``, in filtration order: by length, then corners."""
-    corners = np.arange(len(m))[:, None]
-    length = np.zeros(len(m))
-    for _ in range(dim):  # grow by a corner beyond the last; a simplex is as long as its longest edge
-        at, new = np.nonzero(np.arange(len(m))[None, :] > corners[:, -1:])
-        reach = np.maximum(length[at], m[corners[at], new[:, None]].max(axis=1))
-        keep = reach <= longest
-        corners, length = np.column_stack([corners[at[keep]], new[keep]]), reach[keep]
-    order = np.lexsort((*corners.T[::-1], length))
-    return corners[order], length[order]
 
+def _blocks(n: int, *arrays: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    step = max(1, BLOCK // n)
+    for a in range(0, len(arrays[0]), step):
+        yield tuple(x[a : a + step] for x in arrays)
 
-def _rank(corners: np.ndarray, n: int) -> np.ndarray:
+
+def _grown(r: np.ndarray, corners: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """The rank of every simplex with every point (a column each) as one more corner; its own corners give no edge's rank."""
+    out = np.repeat(reach[:, None], len(r), axis=1)
+    for c in corners.T:
+        np.maximum(out, r[c], out=out)
+    np.put_along_axis(out, corners, NO_EDGE, axis=1)
+    return out
+
+
+def _code(corners: np.ndarray, n: int) -> np.ndarray:
     """A number for every simplex, by its corners as digits."""
     out = np.zeros(len(corners), np.int64)
     for c in corners.T:
@@ -34,17 +57,91 @@ def _rank(corners: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _latest_facet(r: np.ndarray, corners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(corners, reach, code) of the facet of every simplex that comes last in the filtration: the longest, of these the one of the highest corners."""
+    size = corners.shape[1]
+    facets = [np.delete(corners, k, axis=1) for k in range(size)]  # of rising k the corners fall
+    reach = np.stack([np.max([r[f[:, i], f[:, j]] for i in range(size - 1) for j in range(i)] or [np.zeros(len(f), np.int64)], axis=0) for f in facets], axis=1)
+    which = reach.argmax(axis=1)
+    own = np.stack(facets, axis=1)[np.arange(len(corners)), which]
+    return own, reach[np.arange(len(corners)), which], _code(own, len(r))
+
+
+def _pairs(r: np.ndarray, q: int, last: int, cleared: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """((rank of birth, rank of death) of dimension ``q``, -1 for none; codes of the simplices of q + 1 that end one), by cohomology.
+
+    A column is a simplex's cofacets, its pivot the first of them, a simplex later in the
+    filtration is added to an earlier one. Most simplices are the last facet of their
+    first cofacet: such two are a pair at once and their column, if others need it, is
+    made again. Only the rest are reduced. ``cleared``: codes of simplices that end a
+    bar of the dimension below.
+    """
+    n, unit = len(r), len(r) ** (q + 2)
+    pairs, ends, rest = [], [], [(np.zeros((0, q + 1), np.int64), np.zeros(0, np.int64))]
+    for corners, reach in _simplices(r, q, last):
+        stay = ~np.isin(_code(corners, n), cleared)
+        for c, far in _blocks(n, corners[stay], reach[stay]):
+            grown = _grown(r, c, far)
+            v = grown.argmin(axis=1)
+            to = grown[np.arange(len(c)), v]
+            t = np.sort(np.column_stack([c, v]), axis=1)
+            at_once = (to <= last) & (_latest_facet(r, t)[2] == _code(c, n))
+            ends.append(_code(t[at_once], n))
+            pairs += [(int(a), int(b)) for a, b in zip(far[at_once], to[at_once], strict=True) if b > a]
+            rest.append((c[~at_once], far[~at_once]))
+    corners, reach = (np.concatenate(x) for x in zip(*rest, strict=True))
+    order = np.lexsort((_code(corners, n), reach))[::-1]
+    corners, reach = corners[order], reach[order]
+
+    def columns(c: np.ndarray, far: np.ndarray) -> list[set[int]]:
+        """Cofacets as numbers in the order of the filtration: rank times ``unit`` plus code."""
+        grown = _grown(r, c, far)
+        at, v = np.nonzero(grown <= last)
+        keys = (_code(np.sort(np.column_stack([c[at], v]), axis=1), n)).tolist()
+        keys = [a * unit + b for a, b in zip(grown[at, v].tolist(), keys, strict=True)]
+        edges = np.searchsorted(at, np.arange(len(c) + 1)).tolist()
+        return [set(keys[a:b]) for a, b in pairwise(edges)]
+
+    @cache
+    def at_once_by(key: int) -> frozenset[int] | None:
+        """The column of the simplex paired at once with this cofacet, if one is."""
+        digits, code = [], key % unit
+        for _ in range(q + 2):
+            code, x = divmod(code, n)
+            digits.append(x)
+        c, far, _ = _latest_facet(r, np.array([digits[::-1]]))
+        column = columns(c, far)[0]
+        return frozenset(column) if min(column) == key else None
+
+    reduced: dict[int, set[int]] = {}
+    for c, far in _blocks(n, corners, reach):
+        for column, born in zip(columns(c, far), far.tolist(), strict=True):
+            while column:
+                low = min(column)
+                other = reduced.get(low) or at_once_by(low)
+                if other is None:
+                    break
+                column ^= other
+            if column:
+                reduced[low] = column
+                ends.append(np.array([low % unit]))
+                if low // unit > born:
+                    pairs.append((born, low // unit))
+            else:
+                pairs.append((born, -1))
+    return pairs, np.concatenate(ends) if ends else np.zeros(0, np.int64)
+
+
 def persistence(names: list, d: dict[tuple[int, int], float], top_dim: int = 1, longest: float = INF) -> list[tuple[int, float, float]]:
     """(dim, birth, death) of the Vietoris-Rips filtration of a small set of points.
 
     Dimension 0 merges components edge by edge; each merge is a bar from 0, each
-    component left an infinite one. Higher dimensions reduce the boundary matrix over
-    two elements from the top down: a simplex that ends a bar of the dimension above
-    can't start another reduction, so its column is cleared unseen; columns are whole
-    numbers whose bits are rows, so adding two is one operation. Simplices longer than
-    the distance within which one point sees all others can't start or end a bar of any
-    length and are never made. Bars of no length are dropped. An absent distance, or one
-    above ``longest``, is no edge.
+    component left an infinite one. Higher dimensions are reduced from dimension 1 up by
+    cohomology (``_pairs``): a simplex that ends a bar of the dimension below can't start
+    another, so its column is cleared unseen. Simplices of ``top_dim`` + 1 are never
+    stored, only made around a simplex. Those longer than the distance within which one
+    point sees all others can't start or end a bar of any length and are never made. Bars
+    of no length are dropped. An absent distance, or one above ``longest``, is no edge.
     """
     n = len(names)
     edges = sorted((w, e) for e, w in d.items() if w is not None and w == w and w <= longest)
@@ -73,40 +170,20 @@ def persistence(names: list, d: dict[tuple[int, int], float], top_dim: int = 1,
         m[i, j] = m[j, i] = w
     enclosing = float(m.max(axis=1).min())
     most = min(enclosing, float(m[m < INF].max()))
-    levels = {q: _simplices(m, q, most) for q in range(1, top_dim + 2)}
-    cleared = {q: np.zeros(len(levels[q][1]), bool) for q in levels}
-    for q in range(top_dim + 1, 1, -1):
-        corners, length = levels[q]
-        below, born = levels[q - 1]
-        ranks = _rank(below, n)
-        by_rank = np.argsort(ranks)
-        rows = np.column_stack([by_rank[np.searchsorted(ranks, _rank(np.delete(corners, k, axis=1), n), sorter=by_rank)] for k in range(q + 1)]).tolist() if len(corners) else []
-        reduced: dict[int, int] = {}
-        for k in range(len(corners)):
-            if cleared[q][k]:
-                continue
-            column = 0
-            for r in rows[k]:
-                column ^= 1 << r
-            while column and (low := column.bit_length() - 1) in reduced:
-                column ^= reduced[low]
-            if column:
-                reduced[low] = column
-                cleared[q - 1][low] = True
-                if length[k] > born[low]:
-                    bars.append((q - 1, float(born[low]), float(length[k])))
-            elif q <= top_dim:
-                bars.append((q, float(length[k]), INF))
-    corners, length = levels[1]
-    bars += [(1, float(w), INF) for (i, j), w, gone in zip(corners.tolist(), length, cleared[1], strict=True) if not gone and (i, j) in loops]
+    levels = np.unique(m[m <= most])
+    r = np.where(m <= most, np.searchsorted(levels, m), NO_EDGE)
+    cleared = np.array(sorted({i * n + j for _, (i, j) in edges} - {i * n + j for i, j in loops}), np.int64)
+    for q in range(1, top_dim + 1):
+        pairs, cleared = _pairs(r, q, len(levels) - 1, cleared)
+        bars += [(q, float(levels[a]), float(levels[b]) if b >= 0 else INF) for a, b in pairs]
     return bars
 
 
 def diagrams(distances: DataFrame, top_dim: int = 1, longest: float = INF) -> DataFrame:
     """(window_id, dim, birth, death), infinite deaths as Infinity, from (window_id, i, j, d), i < j; null distances are no edges.
 
-    A window is one group of N(N-1)/2 rows, whose simplices of ``top_dim`` + 1 are held
-    in memory: about N^3 / 6 triangles for dimension 1, N^4 / 24 tetrahedra for 2.
+    A window is one group of N(N-1)/2 rows; in memory are blocks of its simplices of
+    ``top_dim`` (about N^3 / 6 triangles for 2) and the columns of those not paired at once.
     """
 
     def f(g: pd.DataFrame) -> pd.DataFrame:
@@ -116,7 +193,7 @@ def diagrams(distances: DataFrame, top_dim: int = 1, longest: float = INF) -> Da
         bars = persistence(names, d, top_dim, longest)
         return pd.DataFrame({"window_id": g["window_id"].iloc[0], "dim": [b[0] for b in bars], "birth": [b[1] for b in bars], "death": [b[2] for b in bars]})
 
-    return distances.select("window_id", "i", "j", "d").groupBy("window_id").applyInPandas(f, "window_id bigint, dim int, birth double, death double")
+    return spread(distances.select("window_id", "i", "j", "d"), "window_id").groupBy("window_id").applyInPandas(f, "window_id bigint, dim int, birth double, death double")
 
 
 def diagrams_of_returns(panel: DataFrame, top_dim: int = 1, signed: bool = False, use_correlation: bool = True, longest: float = INF) -> DataFrame:

@@ -93,6 +93,16 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` by its keys in as many parts as keep all cores busy.
+
+    For few rows that cost much each: adaptive execution joins parts of few bytes, down
+    to a single task for all of them, but not those of a given number.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *by)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

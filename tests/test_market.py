@@ -2,6 +2,8 @@
 
 import math
 import random
+import tracemalloc
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -184,3 +186,41 @@ def test_residual_shape(spark):
     assert [round(r["residual"], 9) for r in X.residuals(a, a.withColumn("value", F.lit(0.02))).orderBy("seq").collect()] == [0.03, 0.01]
     with pytest.raises(ValueError, match="Shape mismatch"):
         X.residuals(a, a.limit(1))
+
+
+def _rank2(columns):
+    """The rank over two elements of columns given as whole numbers."""
+    low = {}
+    for c in columns:
+        while c and c.bit_length() in low:
+            c ^= low[c.bit_length()]
+        if c:
+            low[c.bit_length()] = c
+    return len(low)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_bars_alive_are_betti_numbers(seed):
+    g = random.Random(seed)
+    d = {(i, j): g.choice([1.0, 2.0, 3.0, 4.0]) for i in range(9) for j in range(i + 1, 9)}
+    bars = T.persistence(list(range(9)), d, 2)
+    for at in (1.0, 2.0, 3.0, 4.0):
+        cells = [[c for c in combinations(range(9), k + 1) if all(d[e] <= at for e in combinations(c, 2))] for k in range(4)]
+        index = [{c: k for k, c in enumerate(x)} for x in cells]
+        rank = [0] + [_rank2([sum(1 << index[k - 1][f] for f in combinations(c, k)) for c in cells[k]]) for k in range(1, 4)]
+        assert [sum(q == k and b <= at < e for q, b, e in bars) for k in range(3)] == [len(cells[k]) - rank[k] - rank[k + 1] for k in range(3)]
+
+
+def test_second_dimension_holds_no_tetrahedra():
+    x = np.random.default_rng(1).normal(size=(60, 60))
+    c = np.corrcoef(x)
+    tracemalloc.start()
+    bars = T.persistence(list(range(60)), {(i, j): float(np.sqrt(2 - 2 * c[i, j])) for i in range(60) for j in range(i + 1, 60)}, 2, 2.0)
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert sum(q == 0 for q, _, _ in bars) == 60 and most < 80
+
+
+def test_few_costly_windows_are_many_tasks(spark):
+    d = spark.range(40).select(F.col("id").alias("window_id"), F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(1.0).alias("d")) for i, j in (("a", "b"), ("a", "c"), ("b", "c"))))).alias("x")).select("window_id", "x.*")
+    assert T.diagrams(d).select(F.spark_partition_id()).distinct().count() > 4
