@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import pairwise
 
@@ -132,65 +131,256 @@ def _pairs(r: np.ndarray, q: int, last: int, cleared: np.ndarray) -> tuple[list[
     return pairs, np.concatenate(ends) if ends else np.zeros(0, np.int64)
 
 
-def persistence(names: list, d: dict[tuple[int, int], float], top_dim: int = 1, longest: float = INF) -> list[tuple[int, float, float]]:
-    """(dim, birth, death) of the Vietoris-Rips filtration of a small set of points.
+class _Cocycles:
+    """The cocycles of one dimension that are alive, one by one a bit of the numbers that simplices have: the values of all cocycles on it.
 
-    Dimension 0 merges components edge by edge; each merge is a bar from 0, each
-    component left an infinite one. Higher dimensions are reduced from dimension 1 up by
-    cohomology (``_pairs``): a simplex that ends a bar of the dimension below can't start
-    another, so its column is cleared unseen. Simplices of ``top_dim`` + 1 are never
-    stored, only made around a simplex. Those longer than the distance within which one
-    point sees all others can't start or end a bar of any length and are never made. Bars
-    of no length are dropped. An absent distance, or one above ``longest``, is no edge.
+    One that ends is the youngest of those that can't go on; it is added to the others of
+    them. Numbers written before still hold its bit, until ``now`` reads them: each ended
+    bit there stands for itself and older ones (``rows``), so from the highest down each
+    is replaced once.
+    """
+
+    def __init__(self) -> None:
+        self.born, self.rows, self.ended, self.alive, self.pairs = [], {}, 0, 0, []
+
+    def begin(self, rank: int) -> int:
+        self.born.append(rank)
+        self.alive += 1
+        return 1 << (len(self.born) - 1)
+
+    def now(self, value: int) -> int:
+        while ended := value & self.ended:
+            value ^= self.rows[ended.bit_length() - 1]
+        return value
+
+    def end(self, those: int, rank: int) -> None:
+        youngest = those.bit_length() - 1
+        self.rows[youngest] = those
+        self.ended |= 1 << youngest
+        self.alive -= 1
+        if rank > self.born[youngest]:
+            self.pairs.append((self.born[youngest], rank))
+
+    def bars(self) -> list[tuple[int, int]]:
+        return self.pairs + [(b, -1) for k, b in enumerate(self.born) if not self.ended >> k & 1]
+
+
+def _bits(x: int) -> Iterator[int]:
+    while x:
+        low = x & -x
+        x ^= low
+        yield low.bit_length() - 1
+
+
+def _parts(points: int, near: Callable[[int], int]) -> list[int]:
+    """The connected parts of some points (bits), the largest first."""
+    out = []
+    while points:
+        reach = todo = points & -points
+        while todo and reach != points:
+            low = todo & -todo
+            new = near(low.bit_length() - 1) & points & ~reach
+            reach |= new
+            todo = (todo ^ low) | new
+        out.append(reach)
+        points ^= reach
+    return sorted(out, key=int.bit_count, reverse=True) if len(out) > 1 else out
+
+
+class _Faces:
+    """The triangles on which a cocycle isn't zero. ``beside[a][b]``: the third corners of those with the edge a b; ``ends[a]``: these b."""
+
+    def __init__(self, n: int, cocycles: _Cocycles) -> None:
+        self.n, self.cocycles, self.values, self.beside, self.ends = n, cocycles, {}, [{} for _ in range(n)], [0] * n
+
+    def _flip(self, a: int, b: int, c: int) -> None:
+        for x, y, z in ((a, b, c), (b, a, c), (a, c, b), (c, a, b), (b, c, a), (c, b, a)):
+            left = self.beside[x].get(y, 0) ^ 1 << z
+            if left:
+                self.beside[x][y] = left
+                self.ends[x] |= 1 << y
+            else:
+                del self.beside[x][y]
+                self.ends[x] ^= 1 << y
+
+    def get(self, *corners: int) -> int:
+        a, b, c = sorted(corners)
+        key = (a * self.n + b) * self.n + c
+        x = self.values.get(key, 0)
+        if x & self.cocycles.ended:
+            x = self.values[key] = self.cocycles.now(x)
+            if not x:
+                del self.values[key]
+                self._flip(a, b, c)
+        return x
+
+    def put(self, value: int, *corners: int) -> None:
+        a, b, c = sorted(corners)
+        self.values[(a * self.n + b) * self.n + c] = value
+        self._flip(a, b, c)
+
+    def extend(self, u: int, v: int, part: int, near: list[int], rank: int) -> dict[int, int]:
+        """The values, where not 0, that cocycles take on the new triangles u v x of a part of the edge's link; those that can't go on are ended.
+
+        On the tetrahedron u v x y the values of its four faces add up to 0. Points joined
+        by tetrahedra whose old faces have no value are alike, so only the rest are read.
+        """
+        unlike = {}
+        for x in _bits((self.ends[u] | self.ends[v]) & part):
+            d = (self.beside[u].get(x, 0) | self.beside[v].get(x, 0)) & part
+            if d:
+                unlike[x] = d
+        if not unlike:
+            return {}
+        old = {(x, y): self.get(u, x, y) ^ self.get(v, x, y) for x, d in unlike.items() for y in _bits(d & -(1 << x))}
+        alike = _parts(part, lambda x: near[x] & ~unlike.get(x, 0))
+        of = {x: k for k, points in enumerate(alike[1:], 1) for x in _bits(points)}
+        steps: dict[int, list[tuple[int, int]]] = {}
+        for (x, y), s in old.items():
+            a, b = of.get(x, 0), of.get(y, 0)
+            if a != b:
+                steps.setdefault(a, []).append((b, s))
+                steps.setdefault(b, []).append((a, s))
+        value, todo = {0: 0}, [0]
+        while todo:
+            a = todo.pop()
+            for b, s in steps.get(a, ()):
+                if b not in value:
+                    value[b] = value[a] ^ s
+                    todo.append(b)
+        for (x, y), s in old.items():
+            those = self.cocycles.now(value[of.get(x, 0)] ^ value[of.get(y, 0)] ^ s)
+            if those:
+                self.cocycles.end(those, rank)
+        return {x: value[k] for x, k in of.items() if value[k]}
+
+
+def _by_links(r: np.ndarray, last: int, top_dim: int) -> list[tuple[int, int, int]]:
+    """(dim, rank of birth, rank of death), -1 for none, up to dimension 2 at most, by cohomology an edge at a time.
+
+    An edge comes with all simplices of which it is the last edge: a triangle for every
+    point of its link (the points joined to both of its ends before), a tetrahedron for
+    every edge there. Within them all cancel at once but what the link's shape leaves: an
+    edge without a link joins two parts or starts a loop, every further part of a link
+    ends a loop or starts a void, and a void ends where its cocycle can't be carried over
+    the link's edges. Those few are all that is stored, with the triangles that a living
+    cocycle is not zero on; the other simplices are never made.
     """
-    n = len(names)
-    edges = sorted((w, e) for e, w in d.items() if w is not None and w == w and w <= longest)
-    parent = list(range(n))
+    n = len(r)
+    order = np.argsort(np.minimum(r, last + 1).sum(axis=1), kind="stable")  # the most central point is the lowest bit: it reaches most of a link at once
+    r = r[np.ix_(order, order)]
+    i, j = np.nonzero(np.triu(r <= last, 1))
+    in_order = np.argsort(r[i, j], kind="stable")
+    i, j = i[in_order], j[in_order]
+    root, near, out = list(range(n)), [0] * n, []
 
     def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
         return x
 
-    bars, loops = [], set()
-    for w, (i, j) in edges:
-        a, b = find(i), find(j)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            bars.append((0, 0.0, w))
-        else:
-            loops.add((i, j))
-    bars += [(0, 0.0, INF)] * sum(find(x) == x for x in range(n))
-    if top_dim < 1 or n < 3:
-        return bars + [(1, w, INF) for w, e in edges if e in loops and top_dim >= 1]
-    m = np.full((n, n), INF)
+    loops, voids = _Cocycles(), _Cocycles()
+    on_edge: dict[int, int] = {}
+    on_face = _Faces(n, voids)
+
+    def across(u: int, v: int, part: int) -> int:
+        """What the loops' cocycles must be on an edge for its triangles with a part of its link; the same for each of the part's points."""
+        x = (part & -part).bit_length() - 1
+        return loops.now(on_edge.get(min(u, x) * n + max(u, x), 0) ^ on_edge.get(min(v, x) * n + max(v, x), 0))
+
+    for u, v, rank in zip(i.tolist(), j.tolist(), r[i, j].tolist(), strict=True):
+        link = near[u] & near[v]
+        if not link:
+            a, b = find(u), find(v)
+            if a != b:
+                root[a] = b
+                out.append((0, -1, rank))
+            elif top_dim:
+                on_edge[u * n + v] = loops.begin(rank)
+        elif top_dim:
+            parts, starts = _parts(link, near.__getitem__), []
+            value = across(u, v, parts[0]) if loops.alive else 0
+            for p in parts[1:]:
+                those = loops.now(value ^ across(u, v, p))
+                if those:
+                    loops.end(those, rank)
+                else:
+                    starts.append(p)
+            value = loops.now(value)
+            if value:
+                on_edge[u * n + v] = value
+            if top_dim > 1:
+                new: dict[int, int] = {}
+                if voids.alive:
+                    for p in parts:
+                        new |= on_face.extend(u, v, p, near, rank)
+                for p in starts:
+                    bit = voids.begin(rank)
+                    for x in _bits(p):
+                        new[x] = new.get(x, 0) | bit
+                for x, value in new.items():
+                    value = voids.now(value)
+                    if value:
+                        on_face.put(value, u, v, x)
+        near[u] |= 1 << v
+        near[v] |= 1 << u
+    out += [(0, -1, -1)] * sum(find(x) == x for x in range(n))
+    return out + [(q, a, b) for q, c in ((1, loops), (2, voids)) if q <= top_dim for a, b in c.bars()]
+
+
+def _bars(m: np.ndarray, top_dim: int) -> list[tuple[int, float, float]]:
+    """(dim, birth, death) from a matrix of distances, infinite where there is no edge."""
     np.fill_diagonal(m, 0.0)
-    for w, (i, j) in edges:
-        m[i, j] = m[j, i] = w
-    enclosing = float(m.max(axis=1).min())
-    most = min(enclosing, float(m[m < INF].max()))
-    levels = np.unique(m[m <= most])
-    r = np.where(m <= most, np.searchsorted(levels, m), NO_EDGE)
-    cleared = np.array(sorted({i * n + j for _, (i, j) in edges} - {i * n + j for i, j in loops}), np.int64)
-    for q in range(1, top_dim + 1):
-        pairs, cleared = _pairs(r, q, len(levels) - 1, cleared)
-        bars += [(q, float(levels[a]), float(levels[b]) if b >= 0 else INF) for a, b in pairs]
+    enclosing = float(m.max(axis=1, initial=0.0).min(initial=INF))
+    levels = np.unique(m[(m <= enclosing) & (m < INF)])
+    r = np.where((m <= enclosing) & (m < INF), np.searchsorted(levels, m), NO_EDGE)
+    of = lambda q, a, b: (q, float(levels[a]) if q else 0.0, float(levels[b]) if b >= 0 else INF)
+    bars = [of(*x) for x in _by_links(r, len(levels) - 1, top_dim if top_dim < 3 else 0)]
+    if top_dim > 2:
+        cleared = np.zeros(0, np.int64)
+        for q in range(top_dim + 1):
+            pairs, cleared = _pairs(r, q, len(levels) - 1, cleared)
+            bars += [of(q, a, b) for a, b in pairs if q]
     return bars
 
 
+def persistence(names: list, d: dict[tuple[int, int], float], top_dim: int = 1, longest: float = INF) -> list[tuple[int, float, float]]:
+    """(dim, birth, death) of the Vietoris-Rips filtration of a small set of points.
+
+    In dimension 0 each merge of components is a bar from 0, each component left an
+    infinite one. Dimensions 1 and 2 are reduced by cohomology an edge at a time
+    (``_by_links``); if ``top_dim`` is more, all from 1 up by cohomology a simplex at a
+    time (``_pairs``): there one that ends a bar of the dimension below can't start
+    another, so its column is cleared unseen, and simplices of ``top_dim`` + 1 are never
+    stored, only made around a simplex. Those longer than the distance within which one
+    point sees all others can't start or end a bar of any length and are never made. Bars
+    of no length are dropped, but for merges at distance 0. An absent distance, or one above
+    ``longest``, is no edge.
+    """
+    m = np.full((len(names), len(names)), INF)
+    for (i, j), w in d.items():
+        if w is not None and w <= longest:
+            m[i, j] = m[j, i] = w
+    return _bars(m, top_dim)
+
+
 def diagrams(distances: DataFrame, top_dim: int = 1, longest: float = INF) -> DataFrame:
     """(window_id, dim, birth, death), infinite deaths as Infinity, from (window_id, i, j, d), i < j; null distances are no edges.
 
-    A window is one group of N(N-1)/2 rows; in memory are blocks of its simplices of
-    ``top_dim`` (about N^3 / 6 triangles for 2) and the columns of those not paired at once.
+    A window is one group of N(N-1)/2 rows; in memory are, up to dimension 2, the triangles
+    that a living cocycle is not zero on, beyond it blocks of its simplices of ``top_dim``
+    and the columns of those not paired at once.
     """
 
     def f(g: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(g["i"]) | set(g["j"]))
-        at = {k: n for n, k in enumerate(names)}
-        d = {tuple(sorted((at[i], at[j]))): (None if w is None or math.isnan(w) else float(w)) for i, j, w in zip(g["i"], g["j"], g["d"], strict=True) if i != j}
-        bars = persistence(names, d, top_dim, longest)
+        at, names = pd.factorize(pd.concat([g["i"], g["j"]]), sort=True)
+        i, j = at[: len(g)], at[len(g) :]
+        d = g["d"].to_numpy(float)
+        edge = (i != j) & (d <= longest)  # not so for NaN, which null is
+        m = np.full((len(names), len(names)), INF)
+        m[i[edge], j[edge]] = m[j[edge], i[edge]] = d[edge]
+        bars = _bars(m, top_dim)
         return pd.DataFrame({"window_id": g["window_id"].iloc[0], "dim": [b[0] for b in bars], "birth": [b[1] for b in bars], "death": [b[2] for b in bars]})
 
     return spread(distances.select("window_id", "i", "j", "d"), "window_id").groupBy("window_id").applyInPandas(f, "window_id bigint, dim int, birth double, death double")

@@ -224,3 +224,54 @@ def test_second_dimension_holds_no_tetrahedra():
 def test_few_costly_windows_are_many_tasks(spark):
     d = spark.range(40).select(F.col("id").alias("window_id"), F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(1.0).alias("d")) for i, j in (("a", "b"), ("a", "c"), ("b", "c"))))).alias("x")).select("window_id", "x.*")
     assert T.diagrams(d).select(F.spark_partition_id()).distinct().count() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_links_give_the_pairs_of_single_simplices(seed):
+    g, n = np.random.default_rng(seed), 12
+    w = np.triu(g.integers(0, 9 if seed % 2 else 10_000, (n, n)), 1)
+    r = np.where(g.random((n, n)) < 0.2, T.NO_EDGE, w)
+    r = np.triu(r, 1) + np.triu(r, 1).T
+    last, cleared, want = int(r[r < T.NO_EDGE].max()), np.zeros(0, np.int64), []
+    for q in range(3):
+        pairs, cleared = T._pairs(r, q, last, cleared)
+        want += [(q, a, b) for a, b in pairs if q]
+    assert sorted(x for x in T._by_links(r, last, 2) if x[0]) == sorted(want)
+
+
+def test_void_of_many_points_without_a_list_of_simplices(monkeypatch):
+    monkeypatch.setattr(T, "_simplices", None)  # 1.3 million triangles
+    x = np.random.default_rng(3).normal(size=(200, 3))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    d = T.point_distances(x)
+    bars = T.persistence(list(range(200)), {(int(i), int(j)): w for i, j, w in zip(d["i"], d["j"], d["d"], strict=True)}, 2)
+    assert sum(e - b > 0.5 for q, b, e in bars if q == 2) == 1 and not sum(e - b > 0.5 for q, b, e in bars if q == 1)
+
+
+def test_correlations_by_blocks_without_a_join_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(M, "pairs_of", None)
+    monkeypatch.setattr(M, "CELLS", 200)  # blocks of two or three assets
+    g = np.random.default_rng(0)
+    v = g.normal(size=(7, 30))
+    v[0, 10:20] = 0.1
+    v[g.random(v.shape) < 0.1] = np.nan
+    rows = [(s, f"a{a}", None if np.isnan(v[a, s]) else float(v[a, s])) for a in range(7) for s in range(30)]
+    got = {(r["window_id"], r["i"], r["j"]): r["c"] for r in M.rolling_correlation(spark.createDataFrame(rows, "seq bigint, asset string, ret double"), 5).collect()}
+    want = {}
+    for a, b in combinations(range(7), 2):
+        both = np.flatnonzero(~np.isnan(v[a]) & ~np.isnan(v[b]))
+        for k in range(4, len(both)):
+            x, y = v[a, both[k - 4 : k + 1]], v[b, both[k - 4 : k + 1]]
+            want[int(both[k]), f"a{a}", f"a{b}"] = None if 0 in (np.ptp(x), np.ptp(y)) else np.corrcoef(x, y)[0, 1]
+    assert got.keys() == want.keys() and None in want.values()
+    assert all((c is None) == (got[k] is None) and (c is None or abs(c - got[k]) < 1e-9) for k, c in want.items())
+
+
+def test_triangles_of_windows_as_groups_are_those_of_joins(spark):
+    g = np.random.default_rng(5)
+    rows = [(w, f"n{i:02d}", f"n{j:02d}") for w in range(3) for i, j in combinations(range(20), 2) if g.random() < 0.15 + 0.3 * w]
+    edges = spark.createDataFrame(rows, "window_id bigint, i string, j string")
+    found = [{(r["window_id"], r["node"]): r["tri"] for r in M.triangles(edges, bound).where("tri > 0").collect()} for bound in (200_000, 0)]
+    near = {(w, a): {y if x == a else x for v, x, y in rows if v == w and a in (x, y)} for w, i, j in rows for a in (i, j)}
+    want = {k: sum(b in near[k[0], c] for b, c in combinations(sorted(x), 2)) for k, x in near.items()}
+    assert found[0] == found[1] == {k: x for k, x in want.items() if x}
